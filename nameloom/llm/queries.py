@@ -29,6 +29,12 @@ def op5_best_fit_packing(spark, sf_dir):
     return best_fit_pack(table(spark, sf_dir, "documents"), t.path(ENCODED), t.PATTERN)
 
 
+def op7_minhash_near_dedup(spark, sf_dir):
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     from .bpe import bpe_round_trip
 
