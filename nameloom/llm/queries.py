@@ -16,6 +16,12 @@ def _tokenizers():
     return importlib.import_module("public_tokenizers")
 
 
+def op1_exact_top_k(spark, sf_dir):
+    from .vectors import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark, sf_dir):
     from .token_counts import token_counts
 
@@ -42,6 +48,12 @@ def op8_byte_bpe(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), t.path(MULTI), t.PATTERN, with_ids=False)
 
 
+def op10_embedding_near_dedup(spark, sf_dir):
+    from .vectors import embedding_near_duplicates
+
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
