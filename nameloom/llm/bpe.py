@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, per_process, runs, written
+from .common import bucketed, bytes_of, per_process
 
 #: Characters of text in a block.  A larger block repeats fewer words.
 BLOCK_CHARS = 8_000_000
@@ -226,7 +226,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = max(1, -(-bytes_of(rows) // bucket_bytes))
-    blocks = written(rows.mapInArrow(_blocks(pattern, buckets, block_chars), "block long, doc_ids array<long>, lengths array<long>, codes binary, asked array<struct<bucket long, codes binary, sizes binary, bytes binary>>"), "bpe")
+    blocks = bucketed(rows.mapInArrow(_blocks(pattern, buckets, block_chars), "block long, doc_ids array<long>, lengths array<long>, codes binary, asked array<struct<bucket long, codes binary, sizes binary, bytes binary>>"), "block", "bpe")
     asked = blocks.select("block", F.explode("asked").alias("a")).select("a.bucket", "block", "a.codes", "a.sizes", "a.bytes")
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_bucket(path, pattern), "block long, codes binary, counts binary, ids binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded binary" if with_ids else "")

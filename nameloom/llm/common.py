@@ -41,6 +41,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As written(), dealt by a hash of key, so that a later grouping by key reads
+    it where it lies and shuffles only the other side."""
+    spark = df.sparkSession
+    name = f"nameloom_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", path).bucketBy(n, key).saveAsTable(name)
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context.hadoopConfiguration()).deleteOnExit(place)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return found
+
+
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's estimate of df's size; only ever sizes partitions or blocks."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
