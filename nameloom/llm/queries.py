@@ -28,6 +28,18 @@ def op2_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), _tokenizers().path(PIECES))
 
 
+def op3_html_main_text(spark, sf_dir):
+    from .html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_line_dedup(spark, sf_dir):
+    from .line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_best_fit_packing(spark, sf_dir):
     from .packing import best_fit_pack
 
@@ -35,6 +47,12 @@ def op5_best_fit_packing(spark, sf_dir):
     return best_fit_pack(table(spark, sf_dir, "documents"), t.path(ENCODED), t.PATTERN)
 
 
+def op6_quality(spark, sf_dir):
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_minhash_near_dedup(spark, sf_dir):
     from .minhash import near_duplicates
 
@@ -60,4 +78,6 @@ def queries():
 
 def oracle_sql():
     """SQL for the operators that it can express over whole tables."""
-    return {}
+    from .line_dedup import oracle
+
+    return {"op4_line_dedup": oracle()}
