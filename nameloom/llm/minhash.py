@@ -7,13 +7,13 @@
    signatures that agree in at least `matches` of `coordinates` places agree
    somewhere in the first coordinates - matches + 1, so later ones need no
    postings, and lists of one are skipped.
-3. Short lists give all their pairs, long ones a star on their smallest id.  The
-   pairs' collisions are counted on whole signatures, those with `matches` or
-   more are confirmed on full shingle sets, and the confirmed links contracted.
-4. Long lists whose members are not one component yet are merged block by block:
-   collisions of all pairs across components are counted with arrays, and only
-   the survivors are confirmed.  So no list is cut, and within a group that the
-   stars have joined no further pairs are made.
+3. The members of a list meet with their signatures (of long lists, two blocks at
+   a time).  Collisions are counted over whole signatures, and members that reach
+   `matches` with another are tied together.  A merge that has tied a member in
+   skips it from then on, so a list gives a forest of ties and never its pairs.
+4. The ties' components are the candidates.  Their members meet with full shingle
+   sets, again in blocks, and those that share enough are linked; here, too, what
+   is joined is skipped.  The links' components are the result.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import components, per_process, runs, written
 
-#: Lists up to this long give all their pairs at once.
-SHORT = 6
-#: Rows of a block when long lists are merged.
-BLOCK = 4096
+#: Members of a list that meet in one task (half of them if there are more).
+LIST_BLOCK = 8192
+#: Members of a candidate group that meet in one task, with their shingle sets.
+SET_BLOCK = 1024
 
 
 def _lower():
@@ -42,7 +42,7 @@ class _Words(dict):
 
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) > 500_000:
+            if len(self) > 300_000:
                 self.clear()
             self[word] = h
         return h
@@ -132,68 +132,63 @@ def _post(prefix: int):
     return run
 
 
-def _near(batches):
-    """Sorted postings to pairs: all of a short list, a star and neighbours of a
-    long one (which is streamed, never held).  long_list marks those of long ones."""
+def grow(n: int, near):
+    """A forest over 0..n-1 as (member, root) pairs, by breadth: near(x, rest)
+    says which of the members not yet reached are near x."""
     import numpy as np
 
-    a, b = [], []
-    now, first, last, held, n = None, None, None, [], 0
-
-    def flush():
-        if 2 <= n <= SHORT:
-            for i in range(len(held)):
-                for j in range(i):
-                    a.append(held[j])
-                    b.append(held[i])
-
-    def out():
-        made = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        a.clear()
-        b.clear()
-        return made
-
-    for batch in batches:
-        pairs, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(pairs):
-            continue
-        # lists of one inside a batch are skipped without a look at each
-        same = np.zeros(len(pairs) + 1, bool)
-        same[1:-1] = pairs[1:] == pairs[:-1]
-        look = same[:-1] | same[1:]
-        look[0] = look[-1] = True
-        for p, x in zip(pairs[look].tolist(), ids[look].tolist()):
-            if p != now:
-                flush()
-                now, first, last, held, n = p, x, x, [x], 1
-                continue
-            n += 1
-            if n <= SHORT:
-                held.append(x)
-            else:
-                if n == SHORT + 1:
-                    for y, z in zip(held, held[1:]):
-                        a.extend((first, y))
-                        b.extend((z, z))
-                a.extend((first, last))
-                b.extend((x, x))
-            last = x
-        if len(a) > 200_000:
-            yield out()
-    flush()
-    yield out()
-
-
-def _count_matches(coordinates: int, matches: int):
+    rest = np.arange(n)
+    ties = []
+    while len(rest) > 1:
+        root, rest = rest[0], rest[1:]
+        queue = [root]
+        while queue and len(rest):
+            hit = near(queue.pop(), rest)
+            found = rest[hit]
+            if len(found):
+                ties.append((found, root))
+                queue.extend(found.tolist())
+                rest = rest[~hit]
+    return ties
+
+
+def _ties_out(ids, ties):
+    import numpy as np
+
+    u = [ids[x] for x, _ in ties]
+    v = [np.full(len(x), ids[r]) for x, r in ties]
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + u), np.concatenate(none + v)
+
+
+def _collide(matches: int):
+    """Runs of (pair, i, j): the list's members that agree often enough, tied."""
+
     def run(batches):
         import numpy as np
 
-        for b in batches:
-            if not b.num_rows:
+        us, vs, held = [], [], 0
+
+        def out():
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (us, vs)], names=["u", "v"])
+            us.clear()
+            vs.clear()
+            return made
+
+        for t in runs(batches, ["pair", "i", "j"]):
+            n = t.num_rows
+            if n < 2:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, coordinates) for k in (2, 3))
-            keep = (x == y).sum(1) >= matches
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], names=["a", "b"])
+            ids = t.column("id").to_numpy()
+            signs = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(n, -1)
+            u, v = _ties_out(ids, grow(n, lambda x, rest: (signs[rest] == signs[x]).sum(1) >= matches))
+            us.append(u)
+            vs.append(v)
+            held += len(u)
+            if held > 100_000:
+                yield out()
+                held = 0
+        yield out()
 
     return run
 
@@ -201,119 +196,117 @@ def _count_matches(coordinates: int, matches: int):
 def _sets(size: int):
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_set(t, size).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["id", "part", "shingles"])
 
     return run
 
 
 def _confirm(percent: int):
-    """Pairs whose full sets reach the similarity."""
+    """Runs of (part, i, j): candidates linked by what their full sets share."""
 
     def run(batches):
         import numpy as np
 
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
-
-    return run
+        us, vs = [], []
 
+        def out():
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (us, vs)], names=["u", "v"])
+            us.clear()
+            vs.clear()
+            return made
 
-def _merge(coordinates: int, matches: int):
-    """Runs of (pair, i, j): blocks i and j of a long list; pairs across
-    components whose signatures agree often enough."""
+        for t in runs(batches, ["part", "i", "j"]):
+            n = t.num_rows
+            if n < 2:
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            every = np.concatenate(sets)
+            owner = np.repeat(np.arange(n), sizes)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+
+            def near(x, rest):
+                first, last = np.searchsorted(every, sets[x], "left"), np.searchsorted(every, sets[x], "right")
+                count = last - first
+                ends = np.cumsum(count)
+                both = np.bincount(owner[np.repeat(first - ends + count, count) + np.arange(ends[-1])], minlength=n)[rest]
+                return 100 * both >= percent * (sizes[x] + sizes[rest] - both)
+
+            u, v = _ties_out(t.column("id").to_numpy(), grow(n, near))
+            us.append(u)
+            vs.append(v)
+            if len(us) > 1000:
+                yield out()
+        yield out()
 
-    def run(batches):
-        import numpy as np
+    return run
 
-        for t in runs(batches, ["pair", "i", "j"]):
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            ids, parts, salts = (t.column(c).to_numpy() for c in ("id", "component", "salt"))
-            signs = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, coordinates)
-            left, right = np.flatnonzero(salts == i), np.flatnonzero(salts == j)
-            a, b = [], []
-            for at in range(0, len(left), 64):
-                own = left[at : at + 64]
-                same = np.zeros((len(own), len(right)), np.uint8)
-                for k in range(coordinates):
-                    same += signs[own, k][:, None] == signs[right, k][None, :]
-                hit = (same >= matches) & (parts[own][:, None] != parts[right][None, :])
-                if i == j:
-                    hit &= ids[own][:, None] < ids[right][None, :]
-                x, y = np.nonzero(hit)
-                a.append(ids[own[x]])
-                b.append(ids[right[y]])
-            a, b = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return run
+def _met(rows: DataFrame, key: str, n: str, block: int) -> DataFrame:
+    """rows dealt so that each two members of a key meet: together if it has at
+    most `block`, else every two of its blocks of half that size."""
+    half = F.ceil(F.col(n) / F.lit(block // 2))
+    blocks = F.when(F.col(n) <= block, F.lit(1)).otherwise(half).cast("int")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    others = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != F.col("salt")))
+    met = salted.withColumn("other", F.explode(others)).withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other"))
+    return met.drop("salt", "other", n).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 34, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept: documents
     are linked if 100 * |intersection| >= percent * |union| of their shingle sets.
 
     Only A-Z are lower-cased; words are runs without ASCII white space; a text
     of fewer than `size` words is one shingle.  Null, empty and blank texts have
     an empty set and stand alone.  Rows with a null id stand alone too, with a
-    null component, and are kept.  Rows that repeat an id return a row each, and
-    are linked to each other if their texts are.  Other columns are left out.
+    null component, and are kept.  Rows that repeat an id return a row each and
+    are one document, which is linked by any of its texts.  Other columns are
+    left out.
 
-    `matches` of `coordinates` = 32 of 64 loses a link at exactly 0.75 about once
-    in 100,000 and those above far more rarely.
+    `matches` of `coordinates` = 34 of 64 loses a link at exactly 0.75 about once
+    in 30,000 and those above far more rarely; no link is reported that the full
+    sets don't confirm.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(signatures(rows, size, coordinates), "signatures")
-    # Equal sets are one class; an id that repeats with other texts ties classes together below.
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
-    classes = written(classes, "classes")
-    member = signed.where("digest is not null and doc_id is not null").join(classes.select("digest", "id"), "digest").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    usable = signed.where("digest is not null and doc_id is not null")
+    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
 
+    # Lists of one are skipped by their counts; the rest meet with a byte of each
+    # coordinate, which can only make collisions of more pairs.
     posts = classes.select("id", "signature").mapInArrow(_post(coordinates - matches + 1), "pair long, id long")
-    posts = posts.repartition("pair").sortWithinPartitions("pair", "id")
-    pairs = posts.mapInArrow(_near, "a long, b long").where("a < b").distinct()
-    signs = classes.select("id", "signature")
-
-    def counted(pairs):
-        left = signs.select(F.col("id").alias("a"), F.col("signature").alias("x"))
-        right = signs.select(F.col("id").alias("b"), F.col("signature").alias("y"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_count_matches(coordinates, matches), "a long, b long")
-
-    def confirmed(pairs):
-        pairs = written(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        one = rows.join(wanted, "doc_id", "left_semi")
-        # a repeated id: its smallest text's class took the id, so sets are matched by class
-        sets = written(one.mapInArrow(_sets(size), "id long, shingles binary"), "sets")
-        left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(s)) for k, s in (("a", "x"), ("b", "y")))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "u long, v long")
-
-    links = written(confirmed(counted(pairs)), "links")
-    joined = components(links)
-
-    # Long lists whose members aren't one component yet.
-    label = F.coalesce("component", "id")
-    posts = classes.select("id", "signature").mapInArrow(_post(coordinates - matches + 1), "pair long, id long")
-    long_lists = posts.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") > SHORT)
-    in_long = written(posts.join(long_lists, "pair").join(joined, "id", "left").select("pair", "n", "id", label.alias("component")), "long")
-    open_lists = in_long.groupBy("pair").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("pair")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = in_long.join(open_lists, "pair").join(signs, "id").withColumn("salt", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("pair", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "component", "signature")
-    late = rest.repartition("pair", "i", "j").sortWithinPartitions("pair", "i", "j").mapInArrow(_merge(coordinates, matches), "a long, b long").distinct()
-    late = written(late, "late")
-    every = member.unionByName(joined.select(F.col("id").alias("u"), F.col("component").alias("v")))
-    if not late.isEmpty():
-        every = every.unionByName(confirmed(late))
-    found = components(every)
-    # an id that repeats gets one component, so this join keeps the rows as they are
+    lists = posts.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
+    posts = posts.join(lists, "pair")
+    short = classes.select("id", "signature").mapInArrow(_short(coordinates), "id long, signature binary")
+    ties = _met(posts.join(short, "id"), "pair", "n", LIST_BLOCK).mapInArrow(_collide(matches), "u long, v long")
+    groups = components(ties, "candidates")
+    members = groups.select("id", F.col("component").alias("part")).unionByName(groups.select(F.col("component").alias("id"), F.col("component").alias("part")).distinct())
+    members = written(members.distinct(), "members")
+
+    sizes = members.groupBy("part").agg(F.count("*").alias("n"))
+    texts = rows.join(members, F.col("doc_id") == F.col("id")).select("id", "part", "text")
+    sets = texts.mapInArrow(_sets(size), "id long, part long, shingles binary")
+    links = _met(sets.join(sizes, "part"), "part", "n", SET_BLOCK).mapInArrow(_confirm(percent), "u long, v long")
+
+    same = usable.join(classes.select("digest", "id"), "digest").where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    found = components(links.unionByName(same), "links")
     out = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _short(coordinates: int):
+    """A byte of each coordinate."""
+
+    def run(batches):
+        import numpy as np
+
+        for b in batches:
+            if b.num_rows:
+                signs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, coordinates)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in signs.astype(np.uint8)], pa.binary())], names=["id", "signature"])
+
+    return run
