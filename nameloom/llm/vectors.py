@@ -149,79 +149,72 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.93, tables: i
 
 
 class ImpactIndex:
-    """Integer vectors as postings: per component and quantised level a segment of
-    members.  Given a query, a segment's impact is the least its members gain over
-    the worst value of that component, so all impacts are 0 or more."""
+    """Integer vectors as postings: for each component and quantised level a
+    segment of members.  A segment's impact on a query is its level's middle times
+    the query's component; what a level hides and what isn't read yet are bounded."""
 
-    def __init__(self, ids, values, step: int = 24):
+    def __init__(self, ids, values, levels: int = 20):
         import numpy as np
 
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], np.ascontiguousarray(values[order])
         n, self.size = self.values.shape
-        level = np.floor_divide(self.values, step)
-        self.segments = []  # component, least and largest value, members
-        self.low = self.values.min(0) if n else np.zeros(self.size, np.int64)
-        self.high = self.values.max(0) if n else self.low
+        self.members, component, least, most = [], [], [], []
         for d in range(self.size):
-            by = np.argsort(level[:, d], kind="stable")
-            cuts = np.flatnonzero(np.diff(level[by, d])) + 1
-            for members in np.split(by, cuts):
-                own = self.values[members, d]
-                self.segments.append((d, int(own.min()), int(own.max()), members))
-        self.component = np.array([s[0] for s in self.segments], np.int64)
-        self.least = np.array([s[1] for s in self.segments], np.int64)
-        self.most = np.array([s[2] for s in self.segments], np.int64)
-
-    def top(self, query, k: int, own: int):
-        """The k highest (score, id) of members other than own, ties to smaller ids."""
+            own = self.values[:, d]
+            step = max(1, -(-int(own.max() - own.min() + 1) // levels))
+            by = np.argsort(own, kind="stable")
+            level = (own[by] - own[by[0]]) // step
+            for members in np.split(by, np.flatnonzero(np.diff(level)) + 1):
+                self.members.append(members)
+                component.append(d)
+                least.append(int(own[members[0]]))
+                most.append(int(own[members[-1]]))
+        self.component, self.least, self.most = (np.array(x, np.int64) for x in (component, least, most))
+        self.twice = self.least + self.most  # twice the middle: stays an integer
+        self.width = self.most - self.least
+        self.reach = np.maximum(np.abs(self.least), np.abs(self.most))
+
+    def top(self, query, k: int, own: int, enough: float = 0.25):
+        """The k highest (score, id) of members other than own, ties to smaller ids.
+
+        Segments are read by descending impact.  All accumulators are wrong by at
+        most `doubt`; reading stops when no more than `enough` of the members can
+        still be among the k (those are then rescored), or at the last segment."""
         import numpy as np
 
         q = query.astype(np.int64)
-        n = len(self.ids)
-        worst = np.minimum(q * self.low, q * self.high)
-        base = int(worst.sum())
-        at = q[self.component]
-        gain = np.minimum(at * self.least, at * self.most) - worst[self.component]
-        bound = np.maximum(at * self.least, at * self.most) - worst[self.component]
-        order = np.argsort(-bound, kind="stable")
-        # what is left of each component as segments are read: the next one's bound
-        left = np.zeros(self.size, np.int64)
-        tails = [[] for _ in range(self.size)]
-        for s in order[::-1].tolist():
-            tails[self.component[s]].append(int(bound[s]))
-        for d, tail in enumerate(tails):
-            left[d] = tail[-1]
-        sure = np.zeros(n, np.int64)  # gained at least
-        slack = np.zeros(n, np.int64)  # width of the segments read
-        unread = np.full(n, int(left.sum()), np.int64)  # bound on components not read, by today's left
-        alive = np.ones(n, bool)
+        alive = np.ones(len(self.ids), bool)
         alive[np.searchsorted(self.ids, own, "left") : np.searchsorted(self.ids, own, "right")] = False
-        if not alive.any():
-            return []
         keep = min(k, int(alive.sum()))
-        cap = left.copy()
-        total = len(order)
+        if not keep:
+            return []
+        size = np.abs(q)[self.component]
+        add = self.twice * q[self.component]
+        order = np.argsort(-np.abs(add), kind="stable")
+        # doubled, as the accumulators: what is hidden in levels, by component
+        hidden = np.zeros(self.size, np.int64)
+        np.maximum.at(hidden, self.component, size * self.width)
+        # and what a component not read can still add: its largest segment to come
+        rest = np.zeros((0,), np.int64)
+        got = np.zeros(len(self.ids), np.int64)
+        at, total = 0, len(order)
+        looks = sorted({max(1, total * x // 8) for x in (3, 4, 5, 6, 7)} | {total})
         possible = np.flatnonzero(alive)
-        next_look = total // 4
-        seen = np.zeros((n,), np.int64)
-        for step, s in enumerate(order.tolist(), 1):
-            d, _, _, members = self.segments[s]
-            sure[members] += gain[s]
-            slack[members] += bound[s] - gain[s]
-            seen[members] += 1
-            tails[d].pop()
-            cap[d] = tails[d][-1] if tails[d] else 0
-            if step >= next_look or step == total:
-                # all unread segments are bounded by the largest of them, and by what
-                # the components have left in sum
-                highest = int(bound[order[step]]) if step < total else 0
-                upper = sure + slack + np.minimum((self.size - seen) * highest, int(cap.sum()))
-                lower = np.partition(sure[alive], len(sure[alive]) - keep)[-keep]
-                possible = np.flatnonzero(alive & (upper >= lower))
-                if len(possible) <= max(4 * k, n // 64):  # proof: nobody else can be among the k
-                    break
-                next_look = step + max(8, total // 16)
+        for stop in looks:
+            for s in order[at:stop].tolist():
+                got[self.members[s]] += add[s]
+            at = stop
+            rest = np.zeros(self.size, np.int64)
+            if at < total:
+                later = order[at:]
+                np.maximum.at(rest, self.component[later], 2 * size[later] * self.reach[later])
+            doubt = int(np.maximum(hidden, rest).sum())
+            mine = got[alive]
+            lowest = int(np.partition(mine, len(mine) - keep)[-keep]) - doubt
+            possible = np.flatnonzero(alive & (got + doubt >= lowest))
+            if len(possible) <= max(4 * k, enough * len(got)):
+                break
         score = self.values[possible] @ q
         best = np.lexsort((self.ids[possible], -score))[:k]
         return [(int(score[b]), int(self.ids[possible[b]])) for b in best]
@@ -256,7 +249,7 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) for v in b.column(1).to_pylist()], pa.int32()), pa.array([np.array(v, "<i8").tobytes() for v in b.column(1).to_pylist()], pa.binary())], names=["vec_id", "size", "data"])
 
 
-def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 8192, query_rows: int = 512) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 16384, query_rows: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`
     the k highest integer inner products with the other rows, ties to smaller ids.
     Components become floor(scale * x).
