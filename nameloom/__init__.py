@@ -1,0 +1 @@
+"""Release-name analytics on Spark."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import convert as C
-from ..functions.text import byte_slice, fold_key, group, groups, has, integer, rx, trimmed
+from ..functions.text import byte_slice, fold_key, group, groups, has, integer, let, trimmed
 
 NONE = lambda kind: F.lit(None).cast(kind)
 NO_STRINGS = lambda: F.array().cast("array<string>")
@@ -32,15 +32,28 @@ def origin(field, value, text, begin, end, confidence) -> Column:
     ).cast(ORIGIN)
 
 
+def _text(name: Column, s: Column) -> Column:
+    """A span's text; empty if its offsets lie outside the name."""
+    begin, end = s["begin"], s["end"]
+    inside = (begin >= 0) & (end > begin) & (end <= F.octet_length(name))
+    return F.when(inside, trimmed(byte_slice(name, begin, end))).otherwise(F.lit(""))
+
+
+def _codes(kind: Column, raw: Column) -> Column:
+    """Languages of a span; an E-Sub names English."""
+    found = F.when(kind.isin("audio_language", "subtitle_language", "hardsub_tag"), C.languages(raw))
+    found = let(F.array(found), lambda a: F.when((kind == "subtitle_language") & (F.size(a[0]) == 0) & has(raw, r"\bE[ ._-]?Subs?\b"), F.array(F.lit("eng"))).otherwise(a[0]))
+    return F.coalesce(found, NO_STRINGS())
+
+
 def convert_span(name: Column, s: Column) -> Column:
-    """A span (ord, type, begin, end, confidence) with its text and its values;
-    text is empty if the offsets lie outside the name."""
+    """A span (ord, type, begin, end, confidence) with its text and its values."""
+    return let(_text(name, s), lambda raw: let(_codes(s["type"], raw), lambda codes: _converted(name, s, raw, codes)))
+
+
+def _converted(name: Column, s: Column, raw: Column, codes: Column) -> Column:
     kind, begin, end = s["type"], s["begin"], s["end"]
-    inside = (begin >= 0) & (end > begin) & (end <= F.octet_length(name))
-    raw = F.when(inside, trimmed(byte_slice(name, begin, end))).otherwise(F.lit(""))
     on = lambda types, value: F.when(kind.isin(*types.split()), value)
-    codes = on("audio_language subtitle_language hardsub_tag", C.languages(raw))
-    codes = F.when((kind == "subtitle_language") & (F.size(codes) == 0) & has(raw, r"\bE[ ._-]?Subs?\b"), F.array(F.lit("eng"))).otherwise(codes)
     plus = F.when(byte_slice(name, end, end + 1) == "+", F.lit("+")).otherwise(F.lit(""))
     medium = F.when(C.bit_depth(raw).isNotNull(), NONE("string")).when(C.states_sample_depth(raw), "music").when(C.states_bitness(raw), "software")
     trailing = group(raw, r"([ ._\-]*(?:to|->|>))$", 1)
@@ -60,7 +73,7 @@ def convert_span(name: Column, s: Column) -> Column:
         F.when(kind == "bit_depth", medium).alias("depth_medium"),
         on("hdr", C.hdr(raw)).alias("hdr"),
         F.when(kind == "audio_codec", C.audio_codec(F.concat(raw, plus))).when(kind == "audio_channels", C.audio_channels(raw)).when(kind == "audio_feature", C.audio_profile(raw)).alias("audio"),
-        F.coalesce(codes, NO_STRINGS()).alias("languages"),
+        codes.alias("languages"),
         F.coalesce(on("audio_language dual_audio_tag", C.is_multi_audio(raw) & ((kind == "dual_audio_tag") | (F.size(codes) == 0))), F.lit(False)).alias("multi"),
         F.when(kind == "audio_language", ((F.size(codes) == 0) & C.is_bare_dub(raw))).alias("bare_dub"),
         F.when(kind == "audio_language", C.is_dub(raw) & F.array_contains(codes, "eng")).when(kind == "dual_audio_tag", fold_key(raw).contains("dub") & fold_key(raw).contains("eng")).alias("named_dub"),
@@ -82,7 +95,9 @@ def converted(spans: DataFrame) -> DataFrame:
     """name_id, name, ord, type, begin, end, confidence (a row per span, any other
     columns left out) to a row per name with its array of converted spans."""
     rows = spans.select("name_id", "name", F.struct("ord", "type", "begin", "end", "confidence").alias("s"))
-    rows = rows.select("name_id", "name", convert_span(F.col("name"), F.col("s")).alias("x")).where("x.raw <> ''")
+    # a column for what the values share, so that it is read once
+    rows = rows.withColumn("raw", _text(F.col("name"), F.col("s"))).where("raw <> ''").withColumn("codes", _codes(F.col("s.type"), F.col("raw")))
+    rows = rows.select("name_id", "name", _converted(F.col("name"), F.col("s"), F.col("raw"), F.col("codes")).alias("x"))
     return rows.groupBy("name_id").agg(F.first("name").alias("name"), F.array_sort(F.collect_list("x")).alias("items"))
 
 

@@ -1,0 +1,33 @@
+"""Names as a stream: parsing is stateless per name, so records append as names
+arrive; no watermark and no state are needed for them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..engine import parse
+
+
+def names_stream(spark: SparkSession, path: str) -> DataFrame:
+    """New text files of a folder, a name per line, with the time they were read."""
+    lines = spark.readStream.text(path).where("value <> ''")
+    return lines.select(F.xxhash64("value").alias("name_id"), F.col("value").alias("name"), F.current_timestamp().alias("seen"))
+
+
+def parse_stream(names: DataFrame, evidence: bool = True) -> DataFrame:
+    """Records of a stream of names (name_id, name), by the rule tagger."""
+    return parse(names, evidence=evidence)
+
+
+def counts_by_source(names: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """Releases per window and source; names later than `late` are left out.
+    names: name_id, name, seen."""
+    from ..operators.tagger import rule_spans
+    from ..functions import convert as C
+    from ..functions.text import byte_slice
+
+    spans = rule_spans(F.col("name"))
+    source = F.get(F.filter(F.transform(F.filter(spans, lambda s: s["type"] == "source_type"), lambda s: C.source(byte_slice(F.col("name"), s["begin"], s["end"]))), lambda v: v.isNotNull()), F.lit(0))
+    rows = names.withWatermark("seen", late).select("seen", source.alias("source"))
+    return rows.groupBy(F.window("seen", window).alias("window"), "source").agg(F.count("*").alias("n"))
