@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import convert as C
-from .functions.text import trimmed
-from .operators.fold import SPAN, convert_span, converted, fold
+from .functions.text import once, trimmed
+from .operators.fold import converted, fold, items_of
 from .operators.segments import LONGEST, guard
 from .operators.tagger import rule_spans
 
@@ -33,9 +33,8 @@ def parse(names: DataFrame, name_col: str = "name", id_col: str = "name_id", tag
         name = F.when(name.isNull(), F.raise_error(F.lit("a name is null"))).otherwise(name)
     rows = names.select(F.col(id_col).alias("name_id"), F.coalesce(trimmed(name), F.lit("")).alias("name"))
     if tagger is None:
-        spans = rows.select("name_id", "name", rule_spans(F.col("name")).alias("spans"))
-        items = F.filter(F.transform("spans", lambda s: convert_span(F.col("name"), s.cast(SPAN))), lambda x: x["raw"] != "")
-        ready = spans.select("name_id", "name", items.alias("items"))
+        spans = rows.select("name_id", "name", _spans().alias("spans"))
+        ready = spans.select("name_id", "name", items_of("name", "spans").alias("items"))
     else:
         fit = rows.where(guard(F.col("name")) == "ok")
         spans = tagger(fit).drop("name").join(fit, "name_id")
@@ -45,6 +44,11 @@ def parse(names: DataFrame, name_col: str = "name", id_col: str = "name_id", tag
     return degrade(fold(ready, evidence))
 
 
+@once
+def _spans():
+    return rule_spans(F.col("name"))
+
+
 def degrade(records: DataFrame) -> DataFrame:
     """Names too long to segment get their title and year from the whole name."""
     long = (F.octet_length("name") > LONGEST) & ~F.col("name").contains("\0")

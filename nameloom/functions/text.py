@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,6 +122,21 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(build):
+    """Builds an expression over named columns once per gateway: an expression of
+    thousands of nodes takes seconds to send, and it can be used again."""
+    kept = {}
+
+    @functools.wraps(build)
+    def get(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return get
+
+
 def choose(*cases: tuple[Column, object], default=None) -> Column:
     """The value of the first case that holds."""
     found = F

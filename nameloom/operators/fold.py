@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import convert as C
-from ..functions.text import byte_slice, fold_key, group, groups, has, integer, let, trimmed
+from ..functions.text import byte_slice, fold_key, group, groups, has, integer, let, once, trimmed
 
 NONE = lambda kind: F.lit(None).cast(kind)
 NO_STRINGS = lambda: F.array().cast("array<string>")
@@ -91,13 +91,25 @@ def _converted(name: Column, s: Column, raw: Column, codes: Column) -> Column:
     )
 
 
+@once
+def items_of(name: str, spans: str) -> Column:
+    """The converted spans of a column of arrays of spans."""
+    return F.filter(F.transform(F.col(spans), lambda s: convert_span(F.col(name), s.cast(SPAN))), lambda x: x["raw"] != "")
+
+
+@once
+def _row_columns() -> tuple[Column, Column, Column]:
+    name, s = F.col("name"), F.col("s")
+    return _text(name, s).alias("raw"), _codes(F.col("s.type"), F.col("raw")).alias("codes"), _converted(name, s, F.col("raw"), F.col("codes")).alias("x")
+
+
 def converted(spans: DataFrame) -> DataFrame:
     """name_id, name, ord, type, begin, end, confidence (a row per span, any other
     columns left out) to a row per name with its array of converted spans."""
     rows = spans.select("name_id", "name", F.struct("ord", "type", "begin", "end", "confidence").alias("s"))
     # a column for what the values share, so that it is read once
-    rows = rows.withColumn("raw", _text(F.col("name"), F.col("s"))).where("raw <> ''").withColumn("codes", _codes(F.col("s.type"), F.col("raw")))
-    rows = rows.select("name_id", "name", _converted(F.col("name"), F.col("s"), F.col("raw"), F.col("codes")).alias("x"))
+    raw, codes, x = _row_columns()
+    rows = rows.withColumn("raw", raw).where("raw <> ''").withColumn("codes", codes).select("name_id", "name", x)
     return rows.groupBy("name_id").agg(F.first("name").alias("name"), F.array_sort(F.collect_list("x")).alias("items"))
 
 
@@ -295,9 +307,19 @@ def fold(df: DataFrame, evidence: bool = True) -> DataFrame:
     nothing = "struct<value:string,confidence:float>"
     given = {v: (F.col(v).cast(nothing) if v in df.columns else NONE(nothing)) for v in verdicts}
     df = df.select("name_id", "name", F.coalesce("items", F.array().cast(df.schema["items"].dataType)).alias("items"), *(c.alias(f"v_{v}") for v, c in given.items()), (F.col("availability").cast("float") if "availability" in df.columns else NONE("float")).alias("availability"))
+    df = df.withColumns(_walks()).withColumns(_facts())
+    return _rules(df.withColumn("noted", _noted() if evidence else F.array().cast(f"array<{ORIGIN}>")))
+
+
+@once
+def _walks() -> dict[str, Column]:
     name, items = F.col("name"), F.col("items")
+    return {"t": fold_titles(name, items), "r": fold_resolution(name, items), "n": fold_numbers(name, items)}
 
-    df = df.withColumns({"t": fold_titles(name, items), "r": fold_resolution(name, items), "n": fold_numbers(name, items)})
+
+@once
+def _facts() -> dict[str, Column]:
+    items = F.col("items")
     of = lambda *kinds: (lambda x: x["type"].isin(*kinds))
     known = lambda kinds, c: (lambda x: x["type"].isin(*kinds.split()) & x[c].isNotNull())
     value = lambda c: (lambda x: x[c])
@@ -305,7 +327,7 @@ def fold(df: DataFrame, evidence: bool = True) -> DataFrame:
     rank = F.greatest(*(F.coalesce(F.array_max(F.transform(items, f)), F.lit(0)) for f in (
         lambda x: C.hdr_rank(x["hdr"]),
         lambda x: F.when(x["extras"]["dolby_vision"], 4).when(x["extras"]["hdr10"], 1).otherwise(0))))
-    formats = F.transform(items, lambda x: x["hdr"])
+    formats = F.array_compact(F.transform(items, lambda x: x["hdr"]))
     found_groups = F.array_compact(F.transform(F.filter(items, of("release_group")), value("group")))
     keys = F.transform(found_groups, fold_key)
     kinds = ["container", "file_extension"]
@@ -314,7 +336,7 @@ def fold(df: DataFrame, evidence: bool = True) -> DataFrame:
     edition_ids = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(items, value("editions"))), lambda e: F.element_at(all_ids, e))))
     revision = F.coalesce(F.array_max(F.transform(items, value("revision"))), F.lit(0))
     bumped = _any(items, lambda x: x["proper"] | x["repack"])
-    df = df.withColumns({
+    return {
         "franchise_prefix": _first(items, lambda x: (x["type"] == "franchise_prefix") & (x["title"] != ""), value("title")),
         "source": F.coalesce(_first(items, lambda x: x["source"].isNotNull() & ~x["bare_uhd"], value("source")), first("source_type", "source")),
         "remux": _any(items, value("remux")), "light_encode": _any(items, value("light")), "hybrid": _any(items, value("hybrid")),
@@ -342,13 +364,14 @@ def fold(df: DataFrame, evidence: bool = True) -> DataFrame:
         "container": _last(items, lambda x: x["type"].isin(kinds) & x["container"].isNotNull(), value("container")),
         "depth_medium": first("bit_depth", "depth_medium"), "crc32": _first(items, lambda x: x["checksum"], value("raw")),
         "tagged_multi": _any(items, value("multi")),
-    })
-    if evidence:
-        noted = F.array_sort(F.concat(F.transform(F.col("t.origins"), _keyed(0)), F.transform(F.col("n.origins"), _keyed(0)), F.transform(_other_origins(items, F.col("r")), _keyed(0))), _by_place)
-        df = df.withColumn("noted", F.transform(noted, lambda x: x["o"]))
-    else:
-        df = df.withColumn("noted", F.array().cast(f"array<{ORIGIN}>"))
-    return _rules(df)
+    }
+
+
+@once
+def _noted() -> Column:
+    """All evidence of the walk, in order of spans."""
+    noted = F.concat(*(F.transform(x, _keyed(0)) for x in (F.col("t.origins"), F.col("n.origins"), _other_origins(F.col("items"), F.col("r")))))
+    return F.transform(F.array_sort(noted, _by_place), lambda x: x["o"])
 
 
 def _keyed(_):
@@ -360,8 +383,19 @@ def _by_place(a: Column, b: Column) -> Column:
 
 
 def _rules(df: DataFrame) -> DataFrame:
+    *stages, shown = _rule_stages()
+    for stage in stages:
+        df = df.withColumns(stage)
+    # A generator of one row: conditions on the record are evaluated on its
+    # columns, and never rewritten into copies of the expressions above.
+    return df.select(F.inline(F.array(F.struct(*shown))))
+
+
+@once
+def _rule_stages() -> list:
     """What the whole name says after the fold: fills what is empty; only a range
     of whole markers replaces what spans said."""
+    stages = []
     name, noted = F.col("name"), F.col("noted")
     none = F.array().cast(f"array<{ORIGIN}>")
     empty = F.col("t.title") == ""
@@ -370,7 +404,7 @@ def _rules(df: DataFrame) -> DataFrame:
     retitled = F.transform(noted, lambda o, i: F.when(promote & (i + 1 == promoted), o.withField("field", F.lit("title"))).otherwise(o))
     # an alternative's place also without evidence: it is the first span of its kind
     first_end = _first(F.col("items"), lambda x: x["type"] == "ALT", lambda x: x["end"])
-    df = df.withColumns({
+    stages.append({
         "title": F.when(promote, F.get("t.alternatives", F.lit(0))).otherwise(F.col("t.title")),
         "alternative_titles": F.when(promote, F.slice("t.alternatives", F.lit(2), F.size("t.alternatives"))).otherwise(F.col("t.alternatives")),
         "title_end": F.when(promote, first_end).otherwise(F.col("t.title_end")),
@@ -387,7 +421,7 @@ def _rules(df: DataFrame) -> DataFrame:
     fill_s, fill_e = (s_text != "") & F.col("n.season").isNull(), (s_text != "") & F.col("n.episode").isNull()
     written_s, written_e = integer(group(name, WRITTEN, 3)), integer(group(name, WRITTEN, 6))
     span = lambda field, value, text, at: origin(field, value, text, at, at + F.octet_length(text), 1.0)
-    df = df.withColumns({
+    stages.append({
         "three_d": F.col("three_d") | in_3d, "english_dub": F.col("english_dub") | in_dub,
         "season": F.when(fill_s, written_s).otherwise(F.col("n.season")), "season_end": F.col("n.season_end"),
         "episode": F.when(fill_e, written_e).otherwise(F.col("n.episode")), "episode_end": F.col("n.episode_end"), "episode_count": F.col("n.count"),
@@ -399,10 +433,10 @@ def _rules(df: DataFrame) -> DataFrame:
 
     # a range of whole markers
     g = [F.lit("")] + [group(name, MARKER_RANGE, k) for k in range(1, 11)]
-    df = df.withColumn("m", F.struct(
+    stages.append({"m": F.struct(
         F.octet_length(g[1]).alias("at"), g[2].alias("text"), integer(F.concat(g[3], g[5])).alias("s1"), integer(F.concat(g[4], g[6])).alias("e1"),
         integer(F.concat(g[7], g[9])).alias("s2"), integer(F.concat(g[8], g[10])).alias("e2"),
-        F.octet_length(group(g[2], rf"^(?:{MARK})", 0)).alias("first_size")))
+        F.octet_length(group(g[2], rf"^(?:{MARK})", 0)).alias("first_size"))})
     m = F.col("m")
     there = m["text"] != ""
     rising, same = there & (m["s2"] > m["s1"]), there & (m["s2"] == m["s1"]) & (m["e2"] > m["e1"])
@@ -413,7 +447,7 @@ def _rules(df: DataFrame) -> DataFrame:
     whole = lambda field, value, sure=1.0, size=None: origin(field, value, m["text"], m["at"], m["at"] + (F.octet_length(m["text"]) if size is None else size), sure)
     kept = F.filter(noted, lambda o: ~there | ~o["field"].isin("season", "episode"))
     e1, s1 = m["e1"].cast("string"), m["s1"].cast("string")
-    df = df.withColumns({
+    stages.append({
         "season": F.when(there, m["s1"]).otherwise(F.col("season")), "season_end": F.when(there, F.when(rising, m["s2"])).otherwise(F.col("season_end")),
         "episode": F.when(there, F.when(~rising | runs_on, m["e1"])).otherwise(F.col("episode")),
         "episode_end": F.when(there, F.when(same | runs_on, m["e2"])).otherwise(F.col("episode_end")),
@@ -429,13 +463,13 @@ def _rules(df: DataFrame) -> DataFrame:
     numbering, scope = verdict("numbering")["value"], verdict("pack_scope")["value"]
     overruled = F.coalesce((numbering == "absolute") & F.col("n.combined") & F.col("season").isNotNull() & (F.col("episode") > 0), F.lit(False))
     single = F.coalesce(scope.isin("complete", "season", "multi_season", "episode_batch") & (F.col("episode") > 0) & F.col("episode_end").isNull() & ~F.col("pack_marked"), F.lit(False))
-    df = df.withColumns({"numbering": F.when(overruled, F.lit("season_episode")).otherwise(numbering), "pack_scope": F.when(single, F.lit("single")).otherwise(scope), "single": single})
+    stages.append({"numbering": F.when(overruled, F.lit("season_episode")).otherwise(numbering), "pack_scope": F.when(single, F.lit("single")).otherwise(scope), "single": single})
     medium = F.coalesce(C.medium_of_container(F.col("container")), F.col("depth_medium"), C.medium_of_content(verdict("content")["value"]))
     moves = F.coalesce((F.col("numbering") == "absolute") & (F.col("episode") > 0), F.lit(False))
     scoped = F.coalesce(F.col("pack_scope").isin("complete", "season", "multi_season", "episode_batch", "volume"), F.lit(False))
     said = lambda field, value, v: F.when(F.coalesce(value, F.lit("")) != "", F.array(origin(field, value, "", -1, -1, F.coalesce(verdict(v)["confidence"], F.lit(0.0))))).otherwise(none)
     clean = lambda c: F.when(c != "", c)
-    return df.select(
+    shown = (
         "name_id", "name", (F.col("title") != "").alias("valid"), F.lit(False).alias("degraded"),
         clean(F.col("title")).alias("title"), "alternative_titles", clean(F.col("t.episode_title")).alias("episode_title"), "franchise_prefix",
         F.coalesce("t.year", F.year("t.date")).alias("year"), F.col("t.date").alias("date"), "season", "season_end",
@@ -455,3 +489,4 @@ def _rules(df: DataFrame) -> DataFrame:
             said("numbering_kind", F.col("numbering"), "numbering"), said("pack_scope", F.col("pack_scope"), "pack_scope"), said("special_kind", verdict("special")["value"], "special"),
         ).alias("origins"),
     )
+    return [*stages, shown]
