@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, bytes_of, per_process
+from .common import bucketed, per_process
 
 #: Characters of text in a block.  A larger block repeats fewer words.
 BLOCK_CHARS = 8_000_000
-#: Bytes of input for one bucket of words.
-BUCKET_BYTES = 8_000_000
+#: Bytes of text for one bucket of words.
+BUCKET_BYTES = 16_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -225,7 +225,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     each return a row of their own; other columns are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(1, -(-bytes_of(rows) // bucket_bytes))
+    buckets = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
     blocks = bucketed(rows.mapInArrow(_blocks(pattern, buckets, block_chars), "block long, doc_ids array<long>, lengths array<long>, codes binary, asked array<struct<bucket long, codes binary, sizes binary, bytes binary>>"), "block", "bpe")
     asked = blocks.select("block", F.explode("asked").alias("a")).select("a.bucket", "block", "a.codes", "a.sizes", "a.bytes")
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_bucket(path, pattern), "block long, codes binary, counts binary, ids binary")

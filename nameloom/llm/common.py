@@ -57,11 +57,6 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     return found
 
 
-def bytes_of(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size; only ever sizes partitions or blocks."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def per_process(key, build):
     """build() once per Python worker process, kept between tasks."""
     kept = sys.__dict__.setdefault("_nameloom_kept", {})
