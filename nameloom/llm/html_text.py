@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Element names of HTML by their role here.
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -181,7 +183,7 @@ def _extract(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string())], names=["page_id", "url", "text", "n_chars", "path"])
 
 
-def extract_main_text(pages: DataFrame, share: float = 0.1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, share: float = 0.1, broadcast_bytes: int = 16_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, path: the main text of every row's whole html.
 
     A host's winning paths are those that got at least `share` of its votes (so
@@ -190,8 +192,9 @@ def extract_main_text(pages: DataFrame, share: float = 0.1, id_col: str = "page_
 
     Null and empty html gives an empty text; null URLs share a host.  Null ids
     and repeated rows return a row each (and a vote each); other columns are left
-    out.  Hosts may be skewed: votes are pre-aggregated, and the join with a
-    host's one row is left to Spark, which measures it and splits hot hosts.
+    out.  Hosts may be skewed: votes are pre-aggregated; the winners are measured
+    and broadcast up to broadcast_bytes, so that pages stay where they are read;
+    beyond it Spark joins by host and splits hot ones.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     votes = rows.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_vote, "host string, path string")
@@ -200,5 +203,9 @@ def extract_main_text(pages: DataFrame, share: float = 0.1, id_col: str = "page_
     winners = votes.join(totals, "host").where(F.col("n") >= share * F.col("total"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
     winners = winners.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
+    winners = written(winners, "winners")
+    size = winners.agg(F.sum(F.octet_length("host") + F.aggregate("paths", F.lit(0), lambda n, p: n + F.octet_length(p)) + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
+        winners = F.broadcast(winners)
     found = rows.withColumn("host", host_of(F.col("url"))).join(winners, "host", "left").select("page_id", "url", "html", "paths")
     return found.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, path string")
