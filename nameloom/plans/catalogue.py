@@ -279,6 +279,8 @@ def spelled(df: DataFrame, *tokens: tuple[str | None, Column], glue: str = ".")
         span = F.struct(F.size(s["spans"]).alias("ord"), p["type"].alias("type"), s["at"].alias("begin"), end.alias("end"), F.lit(0.9).cast("float").alias("confidence"))
         return F.struct((end + len(glue)).alias("at"), F.when(p["type"].isNotNull(), F.concat(s["spans"], F.array(span).cast(f"array<{SPAN}>"))).otherwise(s["spans"]).alias("spans"))
 
+    # a fold is work, not reading: one file shouldn't mean one task
+    df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     rows = df.select("*", pieces.alias("_pieces")).select("*", F.array_join(F.transform("_pieces", lambda p: p["token"]), glue).alias("name"), F.aggregate("_pieces", start, place, lambda s: s["spans"]).alias("_spans"))
     return rows.select("*", F.col("k").alias("name_id"), items_of("name", "_spans").alias("items")).drop("_pieces", "_spans", "k")
 
