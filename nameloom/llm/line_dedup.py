@@ -43,7 +43,8 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, near: float = 0.1, id_col:
     lines = _lines(rows)
     often = lines.groupBy(*KEY).agg(F.count("site").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
     often = often.where((F.col("n") >= min_sites) & ((F.col("a") < F.col("b")) | F.lit(min_sites <= 1))).select(*KEY)
-    often = written(lines.join(often, KEY), "lines")
+    # as a table of its own, its join with all lines can be split or broadcast
+    often = written(lines.join(written(often, "often"), KEY), "lines")
 
     sketches = often.groupBy(*KEY).agg(F.hll_sketch_agg("site", F.lit(12)).alias("sketch"), F.min(F.struct("doc_id", "row", "pos")).alias("first"))
     spread = written(sketches.select(*KEY, F.hll_sketch_estimate("sketch").alias("sites"), "first"), "spread")
