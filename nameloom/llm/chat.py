@@ -199,7 +199,8 @@ def chat_tree(turns: DataFrame, path: str, pattern: str, conv_col: str = "conv_i
     cols = [F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")]
     rows = turns.select(*cols).where("conv_id is not null").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     chained = written(rows.mapInArrow(_chain, "conv_id long, depth long, node binary, role string, text string"), "chain")
-    owners = chained.groupBy("node").agg(F.min("conv_id").alias("owner"))
+    # as a table of its own, its join with all turns can be split or broadcast
+    owners = written(chained.groupBy("node").agg(F.min("conv_id").alias("owner")), "owners")
     paths = written(chained.select("conv_id", "depth", "node").join(owners, "node").select("conv_id", "depth", "owner"), "paths")
 
     own = paths.where("conv_id = owner").select("conv_id", "depth")
