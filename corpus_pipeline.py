@@ -22,6 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; null ids and texts are scored
     as any other.  Rows that repeat an id fall together (by their lowest score)."""
+    docs = docs.select(*COLUMNS)
     scores = quality_scores(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.min("predicted").alias("predicted"))
     good = scores.where("predicted = 1").select(F.col("doc_id").alias("_id"))
     return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
@@ -30,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without boilerplate lines; documents of which nothing is left go, those
     that were blank before stay."""
-    cleaned = line_dedup(docs)
+    cleaned = line_dedup(docs.select(*COLUMNS))
     blank = F.coalesce(F.col("text").rlike(r"^\s*$"), F.lit(True))
     text = cleaned.where(~(blank & (F.col("n_removed") > 0)))
     n = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
@@ -40,6 +41,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest
     id; of rows that repeat that id, the smallest.  Null ids stay."""
+    docs = docs.select(*COLUMNS)
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti").select(*COLUMNS)
     twice = written(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")

@@ -55,15 +55,16 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, near: float = 0.1, id_col:
     bad = sure.unionByName(close).select(*KEY, "first")
 
     gone = often.join(bad, KEY).where(F.struct("doc_id", "row", "pos") != F.col("first"))
-    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "gone")
-    marked = docs.withColumn("_key", F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("d"), row.alias("r")))
-    joined = marked.join(gone, (F.col("_key.d") == F.col("_doc")) & (F.col("_key.r") == F.col("_row")), "left")
-    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i))
-    cleaned = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    counts = {"n_lines": F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
-    out = [F.col(c) for c in docs.columns if c not in counts]
-    made = joined.select(*out, cleaned.alias("_text"), *(F.when(F.lit(True), v).alias(k) for k, v in counts.items()))
-    return made.select(*(F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counts), *(F.greatest(F.col(k), F.lit(0)).alias(k) for k in counts))
+    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
+    # the row travels as one struct, so that none of its names can clash
+    named = {c: F.col(f"`{c}`") for c in docs.columns}
+    marked = docs.select(F.struct(*named.values()).alias("doc"), F.coalesce(named[id_col].cast("long"), F.lit(-(2**63))).alias("doc_id"), row.alias("row"), text.alias("text"))
+    joined = marked.join(gone, ["doc_id", "row"], "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
+    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    counts = {"n_lines": F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)), "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))}
+    own = [(cleaned if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns if c not in counts]
+    return joined.select(*own, *(n.cast("long").alias(c) for c, n in counts.items()))
 
 
 def oracle(min_sites: int = 10) -> str:

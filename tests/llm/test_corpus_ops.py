@@ -134,7 +134,7 @@ def test_line_dedup(spark):
     rng = random.Random(5)
     pool = [f"line {k}" for k in range(30)]
     docs = [(k, "\n".join(rng.choice(pool[: 2 + k % 28]) if rng.random() < 0.7 else rng.choice(["", " ", f"own {k}"]) for _ in range(rng.randint(0, 12))), f"s{rng.randint(0, 7)}" if k % 9 else None) for k in range(120)]
-    df = spark.createDataFrame([(k, t, s, "clash") for k, t, s in docs] + [(500, None, "s1", "x")], "doc_id long, text string, source string, h1 string")
+    df = spark.createDataFrame([(k, t, s, "clash") for k, t, s in docs] + [(500, None, "s1", "x")], "doc_id long, text string, source string, gone string")
     spread = {}
     for k, t, s in docs:
         for p, line in enumerate(t.split("\n")):
@@ -148,7 +148,7 @@ def test_line_dedup(spark):
     for k, t, _ in docs:
         lines = [(line, line in bad and (k, p) != bad[line]) for p, line in enumerate(t.split("\n"))]
         assert (found[k]["text"], found[k]["n_lines"], found[k]["n_removed"]) == ("\n".join(x for x, gone in lines if not gone), len(lines), sum(g for _, g in lines))
-    assert found[500]["text"] is None and found[500]["h1"] == "x"
+    assert found[500]["text"] is None and found[500]["gone"] == "x"
     assert line_dedup(df.limit(0)).count() == 0
 
 
