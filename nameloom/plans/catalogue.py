@@ -394,6 +394,21 @@ def degraded_fallback(spark, sf_dir):
     return degrade(fold(tokens, False)).select(F.col("name_id").alias("k"), "degraded", F.col("year").cast("long").alias("year"), "valid")
 
 
+@query("downscale_geometry", "select p_partkey as k, p_partkey % 4 in (0, 1) as downscaled, case when p_partkey % 4 in (0, 1) then '720p' else '2160p' end as screen_size from part")
+def downscale_geometry(spark, sf_dir):
+    k = F.col("k")
+    # a connective of its own, one inside the span, one too far away, and none
+    tokens = spelled(parts(spark, sf_dir), ("MAIN", lit("Movie")), ("resolution", when(k % 4 == 1, "4k->").otherwise("4k")), (None, when(k % 4 == 0, "to").when(k % 4 == 2, "downscaled to")), ("resolution", lit("720p")))
+    return fold(tokens, False).select(F.col("name_id").alias("k"), "downscaled", "screen_size")
+
+
+@query("bracketed_ranges", "select p_partkey as k, p_partkey % 3 = 0 as complete_range, case when p_partkey % 3 = 1 then 3 else 13 end as episode_end from part")
+def bracketed_ranges(spark, sf_dir):
+    k = F.col("k")
+    tokens = spelled(parts(spark, sf_dir), ("MAIN", lit("Show")), (None, when(k % 3 < 2, "(")), ("episode_marker", when(k % 3 == 1, "01-03").otherwise("01-13")), (None, when(k % 3 < 2, ")")), glue=" ")
+    return fold(tokens, False).select(F.col("name_id").alias("k"), "complete_range", F.col("episode_end").cast("long").alias("episode_end"))
+
+
 # --- projections
 
 def _stock(k: Column):
