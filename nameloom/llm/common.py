@@ -117,7 +117,7 @@ def _forest(batches):
             a, b = root(a), root(b)
             if a != b:
                 up[max(a, b)] = min(a, b)
-        if len(up) > 500_000:
+        if len(up) > 200_000:
             yield stars()
     yield stars()
 

@@ -42,7 +42,7 @@ class _Words(dict):
 
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) > 300_000:
+            if len(self) > 100_000:
                 self.clear()
             self[word] = h
         return h
@@ -111,6 +111,7 @@ def signatures(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 signs.append(signature(s, coordinates).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+        per_process("words", _Words).clear()  # an idle worker holds none
 
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, signature binary")
 
@@ -197,6 +198,7 @@ def _sets(size: int):
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_set(t, size).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["id", "part", "shingles"])
+        per_process("words", _Words).clear()
 
     return run
 
