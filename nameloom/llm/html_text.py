@@ -24,6 +24,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre tr caption figcaption summary hr ul ol dl table thead tbody tfoot blockquote figure address center details hgroup td th".split())
 DROPPED = frozenset("nav header footer aside form button menu dialog fieldset".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar rail widget widgets footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply replies respond related recommended recommendations teaser teasers pagination pager toolbar copyright legal skip".split())
+#: Words that make the name of a container speak of what it holds or lacks: no-sidebar, has_banner.
+QUALIFIERS = frozenset("no non without with has have enabled disabled".split())
+#: Of articles, only names that begin so are dropped: an article may well be called comments-open.
+ASIDES = frozenset("comment reply teaser related recommended promo".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -34,17 +38,44 @@ SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
 
 
+def aside(tag: str, names: list[str]) -> bool:
+    """Whether a container's class or id says that it is no main text."""
+    for name in names:
+        for one in name.split():
+            parts = [p.lower() for p in PART.findall(one)]
+            if tag in ("article", "main"):
+                if parts and parts[0] in ASIDES:
+                    return True
+            elif not QUALIFIERS.intersection(parts) and not WORDS.isdisjoint(parts):
+                return True
+    return False
+
+
 class Page:
-    """Blocks of text with the containers they stand in."""
+    """Blocks of text with the containers they stand in.
+
+    If nothing is left because a container that is dropped by its name, or a form,
+    holds the article, the page is read again by its tags alone."""
 
     def __init__(self, html: str):
+        self._read(html, True)
+        if not self.blocks and self.swallowed:
+            self._read(html, False)
+            if not any(self.within(c) for c, _, _ in self.blocks):
+                self.blocks = []
+
+    def within(self, container: int) -> bool:
+        """Whether a container lies in an article or is one."""
+        while container > 0 and self.tags[container] not in ("article", "main"):
+            container = self.parents[container]
+        return container > 0
+
+    def _read(self, html: str, by_name: bool) -> None:
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters inside links
         self.paths = [""]
         self.parents = [-1]
         self.tags = ["body"]
-        self._read(html)
-
-    def _read(self, html: str) -> None:
+        self.swallowed = False  # an article inside something dropped
         stack: list[tuple[str, int, bool]] = []  # tag, container, dropped
         words: list[str] = []
         linked = 0
@@ -122,8 +153,12 @@ class Page:
                         role = value.strip().lower()
                     else:
                         names.append((name.lower(), value))
-            if not dropped and tag not in ("article", "main"):
-                dropped = tag in DROPPED or role in ROLES or any(p.lower() in WORDS for _, v in names for p in PART.findall(v))
+            if dropped:
+                self.swallowed |= tag in ("article", "main")
+            elif by_name:
+                dropped = tag in DROPPED or tag not in ("article", "main") and role in ROLES or aside(tag, [v for _, v in names])
+            else:
+                dropped = tag in DROPPED and tag not in ("form", "fieldset")
             if tag not in TEXT:
                 kinds = sorted({DIGITS.sub("0", c) for name, v in names if name == "class" for c in v.split()})
                 self.paths.append(self.paths[container] + "/" + ".".join([tag, *kinds]))

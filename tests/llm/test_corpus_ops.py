@@ -215,3 +215,26 @@ def test_components(spark):
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(found.get(i, i) == want[i] for i in range(2000))
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+ARTICLE = '<article class="post comments-open"><p>Long body text here.</p><p>More of it.</p></article>'
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div class="layout with-sidebar">%s<div class="sidebar">x</div></div>', "body"),
+        ('<div id="header-fixed">%s<nav>n</nav></div><div class=ad>buy</div>', "body"),
+        ('<form id="f"><nav>m</nav><main>%s</main></form>', "body"),
+        ('<main>%s<article class="comment">A reply that goes on and on.</article><div id="comments"><p>u</p></div></main>', "body"),
+        ('<div class="page-header">h</div><div class="no-banner">%s</div>', "body"),
+        ('<nav>a</nav><div class="ad">b</div><footer>c</footer>', ""),
+        ('<div class="ad"><article></article>b</div>', ""),
+    ],
+)
+def test_main_text_names_of_containers(html, text):
+    from nameloom.llm.html_text import Page
+
+    page = Page(html.replace("%s", ARTICLE))
+    found = page.text(page.paths[page.best()]) if page.blocks else ""
+    assert found == ("Long body text here.\nMore of it." if text else "")
