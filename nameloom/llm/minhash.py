@@ -28,6 +28,8 @@ from .common import components, per_process, runs, written
 LIST_BLOCK = 8192
 #: Members of a candidate group that meet in one task, with their shingle sets.
 SET_BLOCK = 1024
+#: Shingles that these may hold together (32 MB), so that groups of very long documents meet in smaller blocks.
+SET_HASHES = 4_000_000
 
 
 def _lower():
@@ -245,15 +247,19 @@ def _confirm(percent: int):
     return run
 
 
-def _met(rows: DataFrame, key: str, n: str, block: int) -> DataFrame:
+def _met(rows: DataFrame, key: str, n: str, block: int, held=None, most: int = 1) -> DataFrame:
     """rows dealt so that each two members of a key meet: together if it has at
-    most `block`, else every two of its blocks of half that size."""
-    half = F.ceil(F.col(n) / F.lit(block // 2))
-    blocks = F.when(F.col(n) <= block, F.lit(1)).otherwise(half).cast("int")
+    most `block` members and these hold at most `most`, else every two of its
+    blocks of about half that size (of one member at least)."""
+    half, fits = F.ceil(F.col(n) / F.lit(block // 2)), F.col(n) <= block
+    if held is not None:
+        half = F.least(F.greatest(half, F.ceil(F.col(held) / F.lit(max(1, most // 2)))), F.col(n))
+        fits &= F.col(held) <= most
+    blocks = F.when(fits, F.lit(1)).otherwise(half).cast("int")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     others = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != F.col("salt")))
     met = salted.withColumn("other", F.explode(others)).withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other"))
-    return met.drop("salt", "other", n).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
+    return met.drop("salt", "other", n, *([held] if held else [])).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 34, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,10 +293,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, coordinat
     members = groups.select("id", F.col("component").alias("part")).unionByName(groups.select(F.col("component").alias("id"), F.col("component").alias("part")).distinct())
     members = written(members.distinct(), "members")
 
-    sizes = members.groupBy("part").agg(F.count("*").alias("n"))
+    known = usable.select(F.col("doc_id").alias("id"), "n_shingles").join(members, "id")
+    sizes = known.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
     texts = rows.join(members, F.col("doc_id") == F.col("id")).select("id", "part", "text")
     sets = texts.mapInArrow(_sets(size), "id long, part long, shingles binary")
-    links = _met(sets.join(sizes, "part"), "part", "n", SET_BLOCK).mapInArrow(_confirm(percent), "u long, v long")
+    links = _met(sets.join(sizes, "part"), "part", "n", SET_BLOCK, "held", SET_HASHES).mapInArrow(_confirm(percent), "u long, v long")
 
     same = usable.join(classes.select("digest", "id"), "digest").where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     found = components(links.unionByName(same), "links")

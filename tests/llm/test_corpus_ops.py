@@ -62,6 +62,23 @@ def test_near_duplicates(spark, monkeypatch):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_groups_of_long_documents_meet_in_small_blocks(spark, monkeypatch):
+    from nameloom.llm import minhash
+
+    rng = random.Random(5)
+    base = ["w%d" % k for k in range(60)]
+    texts = []
+    for k in range(24):  # neighbours are near, the ends of the chain are not
+        base[(3 * k) % 60] = "x%d" % rng.randrange(10**6)
+        texts.append(" ".join(base))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {k: shingles(t) for k, t in enumerate(texts)}
+    want = closure(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    for most in (4_000_000, 300, 10):  # all together, a few, one of a block
+        monkeypatch.setattr(minhash, "SET_HASHES", most)
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == want
+
+
 def test_repeated_ids_are_one_document(spark):
     from nameloom.llm.minhash import near_duplicates
 
