@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, coordinat
     known = usable.select(F.col("doc_id").alias("id"), "n_shingles").join(members, "id")
     sizes = known.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
     texts = rows.join(members, F.col("doc_id") == F.col("id")).select("id", "part", "text")
-    sets = texts.mapInArrow(_sets(size), "id long, part long, shingles binary")
+    sets = texts.mapInArrow(_sets(size), "id long, part long, shingles binary").where(F.octet_length("shingles") > 0)
     links = _met(sets.join(sizes, "part"), "part", "n", SET_BLOCK, "held", SET_HASHES).mapInArrow(_confirm(percent), "u long, v long")
 
     same = usable.join(classes.select("digest", "id"), "digest").where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))

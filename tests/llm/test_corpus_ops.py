@@ -87,6 +87,16 @@ def test_repeated_ids_are_one_document(spark):
     assert rows == [(2, 2, True), (5, 2, False), (5, 2, False), (5, 2, False), (9, 9, True)]
 
 
+def test_an_id_with_an_empty_text_too(spark):
+    from nameloom.llm.minhash import near_duplicates
+
+    long = " ".join("w%d" % k for k in range(40))
+    rows = [(1, long), (1, ""), (1, None), (2, long + " end"), (2, " "), (7, "other words that stand alone here"), (7, "")]
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # a row without text is linked with nothing
+    assert found == [(1, 0, 1), (1, 0, 1), (1, 36, 1), (2, 0, 2), (2, 37, 1), (7, 0, 7), (7, 2, 7)]
+
+
 def vectors(spark, rng, extra=()):
     base = rng.standard_normal((12, 16))
     rows = [(int(k), [float(x) for x in base[k % 12] + (0.12 if k < 120 else 1.5) * rng.standard_normal(16)], int(k % 2)) for k in range(200)]
