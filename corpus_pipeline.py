@@ -20,12 +20,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; null ids and texts are scored
-    as any other.  Rows that repeat an id fall together (by their lowest score)."""
-    docs = docs.select(*COLUMNS)
-    scores = quality_scores(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.min("predicted").alias("predicted"))
-    good = scores.where("predicted = 1").select(F.col("doc_id").alias("_id"))
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    """Rows that the classifier doesn't reject, each by its own text; null ids,
+    repeated ids and null texts are scored as any other."""
+    scored = quality_scores(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), carry=COLUMNS[1:])
+    return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +38,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest
-    id; of rows that repeat that id, the smallest.  Null ids stay."""
+    id; of a group's rows that repeat that id, the smallest.  Rows of one id whose
+    texts are neither equal nor linked stay apart.  Null ids stay."""
     docs = docs.select(*COLUMNS)
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti").select(*COLUMNS)
-    twice = written(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    twice = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
     if twice.isEmpty():
-        return kept
-    one = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
-    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
+        gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+        return docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti").select(*COLUMNS)
+    # equal texts of one id are one row (blank ones, too, which nothing links); the rows get keys of their own
+    one = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
+    rows = docs.join(twice.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti").select(*COLUMNS).unionByName(one)
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
+    known = rows.where("doc_id is not null")
+    groups = near_duplicates(known, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    groups = written(known.select("row", "doc_id").join(groups, "row"), "groups")
+    first = groups.groupBy("component_id", "doc_id").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    first = first.groupBy("component_id").agg(F.min(F.struct("doc_id", "n", "row")).alias("f")).select("component_id", "f.*")
+    first = written(first, "first")
+    single = rows.join(first.where("n = 1").select("row"), "row", "left_semi").select(*COLUMNS)
+    tied = groups.join(first.where("n > 1").select("component_id", "doc_id"), ["component_id", "doc_id"]).select("row", "component_id")
+    tied = rows.join(tied, "row").groupBy("component_id").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
+    return rows.where("doc_id is null").select(*COLUMNS).unionByName(single).unionByName(tied)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,11 +40,15 @@ def statistics(text: str) -> list[float]:
     return out
 
 
-def _measure(batches):
-    for b in batches:
-        rows = [statistics(t or "") for t in b.column(1).to_pylist()]
-        columns = list(zip(*rows)) or [()] * len(NAMES)
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.float64()) for c in columns)], names=["doc_id", *NAMES])
+def _measure(carry: list[str]):
+    def run(batches):
+        for b in batches:
+            rows = [statistics(t or "") for t in b.column(1).to_pylist()]
+            columns = list(zip(*rows)) or [()] * len(NAMES)
+            carried = [b.column(b.schema.get_field_index(c)) for c in carry]
+            yield pa.RecordBatch.from_arrays([b.column(0), *carried, *(pa.array(c, pa.float64()) for c in columns)], names=["doc_id", *carry, *NAMES])
+
+    return run
 
 
 class Fourier:
@@ -110,7 +114,7 @@ def isotonic(points: list[tuple[float, float, float]]) -> tuple[list[float], lis
     return [b[0] / b[2] for b in blocks], [b[1] / b[2] for b in blocks]
 
 
-def _score(fourier, weights, knots):
+def _score(fourier, weights, knots, carry):
     def run(batches):
         import numpy as np
 
@@ -123,13 +127,15 @@ def _score(fourier, weights, knots):
                 raw = np.clip(fourier(_matrix(b, NAMES)) @ weights, -1, 2)
                 # the last thousandth keeps the order within flat stretches
                 s = 0.999 * np.interp(raw, *knots) + 0.001 * (raw + 1) / 3
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            carried = [b.column(b.schema.get_field_index(c)) for c in carry]
+            yield pa.RecordBatch.from_arrays([b.column(0), *carried, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", *carry, "score", "predicted"])
 
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 300, width: float = 1.0, ridge: float = 1e-3, bins: int = 2000, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs.
+def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 300, width: float = 1.0, ridge: float = 1e-3, bins: int = 2000, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", carry: list[str] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs, and its columns
+    named in `carry`.
 
     Learns only from labelled rows whose crc32(id as text) mod 3 is not 1; all of
     them, without a sample.  What is gathered is of fixed size: means, a square of
@@ -142,8 +148,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 300, widt
     """
     import numpy as np
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    measured = written(rows.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{c} double" for c in NAMES)), "statistics")
+    carry = list(carry)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(c for c in carry if c != "text"))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*carry).schema)
+    measured = written(rows.mapInArrow(_measure(carry), f"doc_id long, {kept}" + ", ".join(f"{c} double" for c in NAMES)), "statistics")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held)
@@ -165,8 +173,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 300, widt
             bin_of = F.floor((F.col("raw") + 1) / 3 * bins)
             points = raw.groupBy(bin_of.alias("k")).agg(F.avg("raw").alias("x"), F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("k").collect()
             knots = isotonic([(p["x"], p["y"], p["n"]) for p in points])
-    scored = measured.mapInArrow(_score(fourier, weights, knots), "doc_id long, score double, predicted int")
-    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+    scored = measured.mapInArrow(_score(fourier, weights, knots, carry), f"doc_id long, {kept}score double, predicted int")
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", *carry)
 
 
 def _raw(fourier, weights):

@@ -53,3 +53,24 @@ def test_every_operator_is_registered():
     assert "pipeline" in names
     assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_decisions_are_per_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = __import__("random").Random(9)
+    good = lambda n: "\n".join(" ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(12)) for _ in range(n))
+    junk = lambda: " ".join(rng.choice(["BUY!!", "$$$", "###"]) for _ in range(60))
+    corpus(spark, str(tmp_path))
+    clean, twin = [good(6) for _ in range(12)], good(6)
+    rows = [(None, t) for t in clean[:8]] + [(None, junk()) for _ in range(4)]  # null ids, clean and not
+    rows += [(3000, clean[8]), (3000, junk()), (3000, clean[9])]  # an id of distinct texts
+    rows += [(4000, twin), (4001, clean[10]), (4001, twin), (4001, twin + " end"), (4002, clean[11]), (4002, clean[11])]
+    made = spark.createDataFrame([(k, t, "en", "s1", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id < 240").dropDuplicates(["doc_id"]).unionByName(made)
+    found = corpus_pipeline.keep_quality(spark, docs, str(tmp_path))
+    shown = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.where("doc_id is null or doc_id >= 3000").collect()), key=repr)
+    assert shown(found) == sorted([r for r in rows if "BUY" not in r[1] and "$$$" not in r[1]], key=repr)
+    kept = shown(corpus_pipeline.drop_near_duplicates(spark, made.where("text not like '%$$$%'"), str(tmp_path)))
+    want = [(None, t) for t in clean[:8]] + [(3000, clean[8]), (3000, clean[9]), (4000, twin), (4001, clean[10]), (4002, clean[11])]
+    assert kept == sorted(want, key=repr)
