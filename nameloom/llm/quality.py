@@ -40,9 +40,18 @@ def statistics(text: str) -> list[float]:
     return out
 
 
+def _slices(batches, carry: list[str], rows: int = 256):
+    """The batches, in slices if texts are carried, so that the JVM is sent back few at a time."""
+    for b in batches:
+        if carry:
+            yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+        else:
+            yield b
+
+
 def _measure(carry: list[str]):
     def run(batches):
-        for b in batches:
+        for b in _slices(batches, carry):
             rows = [statistics(t or "") for t in b.column(1).to_pylist()]
             columns = list(zip(*rows)) or [()] * len(NAMES)
             carried = [b.column(b.schema.get_field_index(c)) for c in carry]
@@ -118,7 +127,7 @@ def _score(fourier, weights, knots, carry):
     def run(batches):
         import numpy as np
 
-        for b in batches:
+        for b in _slices(batches, carry):
             if not b.num_rows:
                 continue
             if weights is None:
