@@ -28,6 +28,8 @@ WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense s
 QUALIFIERS = frozenset("no non without with has have enabled disabled".split())
 #: Of articles, only names that begin so are dropped: an article may well be called comments-open.
 ASIDES = frozenset("comment reply teaser related recommended promo".split())
+#: Words for what stands beside the main text however long it is; the other WORDS also name layouts.
+BESIDE = ASIDES | frozenset("comments commentlist disqus replies respond recommendations teasers ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr newsletter".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -38,31 +40,40 @@ SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
 
 
-def aside(tag: str, names: list[str]) -> bool:
-    """Whether a container's class or id says that it is no main text."""
+def words_of(name: str) -> list[list[str]]:
+    return [[p.lower() for p in PART.findall(one)] for one in name.split()]
+
+
+def aside(tag: str, names: list[str]) -> str:
+    """Whether a container's class or id says that it is no main text: BESIDE,
+    LAYOUT (it may after all be what the main text is laid out in) or nothing."""
+    found = ""
     for name in names:
-        for one in name.split():
-            parts = [p.lower() for p in PART.findall(one)]
+        for parts in words_of(name):
             if tag in ("article", "main"):
                 if parts and parts[0] in ASIDES:
-                    return True
+                    return "beside"
             elif not QUALIFIERS.intersection(parts) and not WORDS.isdisjoint(parts):
-                return True
-    return False
+                if not BESIDE.isdisjoint(parts):
+                    return "beside"
+                found = "layout"
+    return found
 
 
 class Page:
     """Blocks of text with the containers they stand in.
 
-    If nothing is left because a container that is dropped by its name, or a form,
-    holds the article, the page is read again by its tags alone."""
+    What is dropped by its tag is gone.  A container that would be dropped by its
+    name or role, or a form, stays if it holds an article or most of the page's
+    unlinked text; if its name says that it stands beside the main text, only if
+    it holds articles that are most of what the page has."""
 
     def __init__(self, html: str):
-        self._read(html, True)
-        if not self.blocks and self.swallowed:
-            self._read(html, False)
-            if not any(self.within(c) for c, _, _ in self.blocks):
-                self.blocks = []
+        #: container, text, characters inside links
+        self.blocks: list[tuple[int, str, int]] = []
+        #: of what may be dropped: what it lies in, its kind, whether it lies in an article, whether it holds one
+        self.wraps: list[list] = [[-1, "", False, False]]
+        self._decide(self._read(html))
 
     def within(self, container: int) -> bool:
         """Whether a container lies in an article or is one."""
@@ -70,18 +81,58 @@ class Page:
             container = self.parents[container]
         return container > 0
 
-    def _read(self, html: str, by_name: bool) -> None:
-        self.blocks: list[tuple[int, str, int]] = []  # container, text, characters inside links
+    def _decide(self, read: list[tuple[int, str, int, int]]) -> None:
+        """The blocks that aren't in anything dropped."""
+        wraps = self.wraps
+        size = len(wraps)
+        if size == 1:
+            self.blocks = [r[:3] for r in read]
+            return
+        hard, beside = [False] * size, [False] * size
+        for w in range(1, size):
+            up, kind = wraps[w][:2]
+            hard[w] = hard[up] or kind == "hard"
+            beside[w] = beside[up] or kind == "beside"
+        held, total = [0] * size, 0
+        for _, text, linked, w in read:
+            if not beside[w] and not hard[w]:
+                worth = max(0, len(text) - linked)
+                total += worth
+                while w > 0:
+                    held[w] += worth
+                    w = wraps[w][0]
+
+        def kept(sure: bool):
+            out = [False] * size
+            for w in range(1, size):
+                up, kind, inside, article = wraps[w]
+                if kind == "layout":
+                    gone = not article and (inside or 2 * held[w] <= total)
+                else:
+                    gone = kind == "hard" or not sure or not article
+                out[w] = out[up] or gone
+            return [r for r in read if not out[r[3]]]
+
+        blocks = kept(False)
+        if any(x[1] == "beside" and x[3] for x in wraps) and not any(self.within(c) for c, *_ in blocks):
+            more = kept(True)
+            own = lambda rows: sum(max(0, len(t) - n) for _, t, n, _ in rows)
+            if own([r for r in more if self.within(r[0])]) > own(blocks):
+                blocks = more
+        self.blocks = [r[:3] for r in blocks]
+
+    def _read(self, html: str) -> list[tuple[int, str, int, int]]:
+        read: list[tuple[int, str, int, int]] = []  # container, text, characters inside links, wrap
         self.paths = [""]
         self.parents = [-1]
         self.tags = ["body"]
-        self.swallowed = False  # an article inside something dropped
-        stack: list[tuple[str, int, bool]] = []  # tag, container, dropped
+        stack: list[tuple[str, int, int]] = []  # tag, container, wrap
+        inside = [False]  # of containers: in an article
         words: list[str] = []
         linked = 0
         anchors = 0
         at = 0
-        container, dropped = 0, False
+        container, wrap = 0, 0
         size = len(html)
 
         def block():
@@ -89,16 +140,15 @@ class Page:
             if words:
                 text = SPACE.sub(" ", unescape("".join(words))).strip()
                 if text:
-                    self.blocks.append((container, text, linked))
+                    read.append((container, text, linked, wrap))
                 words, linked = [], 0
 
         while at < size:
             m = TOKEN.search(html, at)
             if m is None:
-                if not dropped:
-                    words.append(html[at:])
+                words.append(html[at:])
                 break
-            if m.start() > at and not dropped:
+            if m.start() > at:
                 words.append(html[at : m.start()])
                 if anchors:
                     linked += m.start() - at
@@ -117,7 +167,7 @@ class Page:
                 block()
                 if k >= 0:
                     del stack[k:]
-                    container, dropped = stack[-1][1:] if stack else (0, False)
+                    container, wrap = stack[-1][1:] if stack else (0, 0)
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
@@ -142,7 +192,7 @@ class Page:
                     k -= 1
                 if k >= 0 and stack[k][0] in CLOSES[tag]:
                     del stack[k:]
-            container, dropped = stack[-1][1:] if stack else (0, False)
+            container, wrap = stack[-1][1:] if stack else (0, 0)
             if tag in ("html", "body"):
                 continue
             names, role = [], ""
@@ -153,20 +203,33 @@ class Page:
                         role = value.strip().lower()
                     else:
                         names.append((name.lower(), value))
-            if dropped:
-                self.swallowed |= tag in ("article", "main")
-            elif by_name:
-                dropped = tag in DROPPED or tag not in ("article", "main") and role in ROLES or aside(tag, [v for _, v in names])
-            else:
-                dropped = tag in DROPPED and tag not in ("form", "fieldset")
+            kind = ""
+            if self.wraps[wrap][1] != "hard":
+                whole = "main" if role == "main" else tag
+                if tag in DROPPED:
+                    kind = "layout" if tag in ("form", "fieldset") else "hard"
+                if kind != "hard" and names:
+                    kind = aside(whole, [v for _, v in names]) or kind
+                if not kind and whole not in ("article", "main") and role in ROLES:
+                    kind = "layout"
+                if whole in ("article", "main") and not kind:
+                    w = wrap
+                    while w > 0 and not self.wraps[w][3]:
+                        self.wraps[w][3] = True
+                        w = self.wraps[w][0]
+                if kind:
+                    self.wraps.append([wrap, kind, inside[container], False])
+                    wrap = len(self.wraps) - 1
             if tag not in TEXT:
                 kinds = sorted({DIGITS.sub("0", c) for name, v in names if name == "class" for c in v.split()})
                 self.paths.append(self.paths[container] + "/" + ".".join([tag, *kinds]))
                 self.parents.append(container)
                 self.tags.append("main" if role == "main" else tag)
+                inside.append(inside[container] or self.tags[-1] in ("article", "main"))
                 container = len(self.paths) - 1
-            stack.append((tag, container, dropped))
+            stack.append((tag, container, wrap))
         block()
+        return read
 
     def best(self) -> int:
         """The container that scores highest; ties to the outer, earlier one."""

@@ -168,3 +168,23 @@ def test_chat_tree(spark):
             assert [line[k] for a in n["attends"] for k in range(a["begin"], a["end"])] == seen and n["position"] == len(seen)
             seen += n["input_ids"]
     assert read_back(chat_tree(turns.limit(0), P.path("byte_bpe_50k.json"), P.PATTERN)).count() == 0
+
+
+LONG = "The harbour was rebuilt after the storm and ships came back in spring. " * 6
+
+
+def _main_text(html):
+    from nameloom.llm.html_text import Page
+
+    page = Page(html)
+    return page.text(page.paths[page.best()]).split("\n")
+
+
+def test_html_wrappers_of_the_main_text_stay():
+    long = LONG.strip()
+    assert _main_text(f'<body><a class="skip-link" href="#m">Skip to content</a><div class="layout sidebar-right"><article><p>{long}</p></article></div></body>') == [long]
+    assert _main_text(f'<body>stray<form id="aspnetForm"><div class="x"><p>{long}</p></div><div class="comments"><p>me too</p></div></form></body>')[-1] == long
+    assert _main_text(f'<body><form><div class="x"><p>{long}</p></div></form></body>') == [long]
+    assert _main_text(f'<body><a href="#m">Skip</a><div class="promo-layout"><article><p>{long}</p></article></div></body>') == [long]
+    beside = f'<div class="comments"><p>{long}</p><p>{long}</p></div><div class="related"><article><p>{long}</p></article></div>'
+    assert _main_text(f'<body><div class="x"><p>Short.</p></div><article><p>{long}</p></article>{beside}</body>') == [long]
