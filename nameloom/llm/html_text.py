@@ -30,6 +30,8 @@ QUALIFIERS = frozenset("no non without with has have enabled disabled".split())
 ASIDES = frozenset("comment reply teaser related recommended promo".split())
 #: Words for what stands beside the main text however long it is; the other WORDS also name layouts.
 BESIDE = ASIDES | frozenset("comments commentlist disqus replies respond recommendations teasers ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr newsletter".split())
+#: Inside an article only whole names count, as related-work or share-price are its own.
+KNOWN = frozenset("comment comments comment-list commentlist comments-list comments-area comment-section comments-section disqus disqus-thread replies respond related related-posts related-articles related-stories related-content related-links recommended recommendations recommended-posts recommended-articles ad ads advert adverts advertisement advertisements adsense ad-container ad-slot ad-banner ad-unit ad-box ad-wrapper sponsored sponsored-content promo promo-box share share-buttons share-bar share-links sharing social social-share social-links social-buttons newsletter newsletter-signup newsletter-form newsletter-box subscribe subscribe-box signup login cookie-notice cookie-banner cookie-consent cookies gdpr consent breadcrumb breadcrumbs nav navbar pagination pager post-nav post-navigation sidebar widget teaser teasers popup modal overlay notice toolbar post-footer entry-footer skip-link".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -60,6 +62,12 @@ def aside(tag: str, names: list[str]) -> str:
     return found
 
 
+def aside_within(tag: str, names: list[tuple[str, str]]) -> str:
+    """The same inside an article, by whole names; ids of its headings,
+    paragraphs, lists and cells are its own."""
+    return "beside" if any("-".join(parts) in KNOWN for name, v in names if name == "class" or tag not in TEXT for parts in words_of(v)) else ""
+
+
 class Page:
     """Blocks of text with the containers they stand in.
 
@@ -209,7 +217,8 @@ class Page:
                 if tag in DROPPED:
                     kind = "layout" if tag in ("form", "fieldset") else "hard"
                 if kind != "hard" and names:
-                    kind = aside(whole, [v for _, v in names]) or kind
+                    of = aside_within(tag, names) if inside[container] and whole not in ("article", "main") else aside(whole, [v for _, v in names])
+                    kind = of or kind
                 if not kind and whole not in ("article", "main") and role in ROLES:
                     kind = "layout"
                 if whole in ("article", "main") and not kind:

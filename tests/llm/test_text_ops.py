@@ -188,3 +188,9 @@ def test_html_wrappers_of_the_main_text_stay():
     assert _main_text(f'<body><a href="#m">Skip</a><div class="promo-layout"><article><p>{long}</p></article></div></body>') == [long]
     beside = f'<div class="comments"><p>{long}</p><p>{long}</p></div><div class="related"><article><p>{long}</p></article></div>'
     assert _main_text(f'<body><div class="x"><p>Short.</p></div><article><p>{long}</p></article>{beside}</body>') == [long]
+
+
+def test_html_names_inside_an_article():
+    own = ['<h2 id="related-work">Work</h2>', '<p class="share-price">Price</p>', '<section id="advertising-revenue"><p>Revenue</p></section>', '<ul class="menu-items"><li>Soup</li></ul>']
+    gone = ['<section class="comments"><p>C</p></section>', '<div class="related-posts"><p>R</p></div>', '<div class="ad"><p>A</p></div>']
+    assert _main_text(f"<article><p>{LONG}</p>{''.join(own + gone)}</article>") == [LONG.strip(), "Work", "Price", "Revenue", "Soup"]
