@@ -241,7 +241,8 @@ class Page:
         return read
 
     def best(self) -> int:
-        """The container that scores highest; ties to the outer, earlier one."""
+        """The container that scores highest (ties to the outer, earlier one), or
+        what it lies in while that adds mostly unlinked text; of an article, all."""
         score = [0.0] * len(self.paths)
         for container, text, linked in self.blocks:
             worth = max(0, len(text) - 2 * linked)
@@ -251,7 +252,30 @@ class Page:
                 container = self.parents[container]
         weight = {"article": 3.0, "main": 2.0}
         score = [s * weight.get(t, 1.0) for s, t in zip(score, self.tags)]
-        return max(range(len(score)), key=lambda k: (score[k], -k))
+        return self._climb(max(range(len(score)), key=lambda k: (score[k], -k)))
+
+    def _climb(self, at: int) -> int:
+        own, links = [0] * len(self.paths), [0] * len(self.paths)
+        for container, text, linked in self.blocks:
+            own[container] += len(text)
+            links[container] += min(linked, len(text))
+        for k in range(len(own) - 1, 0, -1):
+            own[self.parents[k]] += own[k]
+            links[self.parents[k]] += links[k]
+        k = at
+        while k > 0 and self.tags[k] != "article":
+            k = self.parents[k]
+        if k > 0:
+            return k
+        k = at
+        while k > 0 and self.tags[k] != "main":
+            k = self.parents[k]
+            added, linked = own[k] - own[at], links[k] - links[at]
+            if added:
+                if 2 * linked > added:
+                    break
+                at = k
+        return at
 
     def text(self, path: str) -> str:
         """The blocks in containers of this path, in page order."""

@@ -194,3 +194,12 @@ def test_html_names_inside_an_article():
     own = ['<h2 id="related-work">Work</h2>', '<p class="share-price">Price</p>', '<section id="advertising-revenue"><p>Revenue</p></section>', '<ul class="menu-items"><li>Soup</li></ul>']
     gone = ['<section class="comments"><p>C</p></section>', '<div class="related-posts"><p>R</p></div>', '<div class="ad"><p>A</p></div>']
     assert _main_text(f"<article><p>{LONG}</p>{''.join(own + gone)}</article>") == [LONG.strip(), "Work", "Price", "Revenue", "Soup"]
+
+
+def test_html_what_stands_beside_the_longest_container():
+    long = LONG.strip()
+    links = '<div class="x"><ul><li><a href="/a">One of many links</a></li><li><a href="/b">Another of the links</a></li></ul></div>'
+    page = f'<body>{links}<div class="post"><h1>Title</h1><div class="lead">Lead.</div><div class="entry"><p>{long}</p></div></div></body>'
+    assert _main_text(page) == ["Title", "Lead.", long]
+    deep = f"<article><h1>Title</h1><div><div><div><div><p>{long}</p></div></div></div></div></article>"
+    assert _main_text(deep) == ["Title", long]
