@@ -388,8 +388,18 @@ folded("edition_order", "select p_partkey as k, case when p_partkey % 2 = 0 then
 
 @query("degraded_fallback", "select p_partkey as k, p_partkey % 2 = 0 as degraded, case when p_partkey % 2 = 0 then 1990 + p_partkey % 30 end as year, true as valid from part where p_partkey <= 60")
 def degraded_fallback(spark, sf_dir):
+    return _degraded(parts(spark, sf_dir).where("k <= 60"))
+
+
+@query("degraded_fallback_all", "select p_partkey as k, p_partkey % 2 = 0 as degraded, case when p_partkey % 2 = 0 then 1990 + p_partkey % 30 end as year, true as valid from part")
+def degraded_fallback_all(spark, sf_dir):
+    """As degraded_fallback, whose SQL asks for 60 keys, over every part."""
+    return _degraded(parts(spark, sf_dir))
+
+
+def _degraded(rows: DataFrame) -> DataFrame:
     k = F.col("k")
-    rows = parts(spark, sf_dir).where("k <= 60").select("k", when(k % 2 == 0, cat(F.repeat(lit("a"), 16400), lit("."), 1990 + k % 30)).otherwise(lit("Show")).alias("text"))
+    rows = rows.select("k", when(k % 2 == 0, cat(F.repeat(lit("a"), 16400), lit("."), 1990 + k % 30)).otherwise(lit("Show")).alias("text"))
     tokens = spelled(rows, ("MAIN", when(k % 2 == 1, F.col("text"))), (None, when(k % 2 == 0, F.col("text"))))
     return degrade(fold(tokens, False)).select(F.col("name_id").alias("k"), "degraded", F.col("year").cast("long").alias("year"), "valid")
 
