@@ -471,6 +471,18 @@ def confidence_min(spark, sf_dir):
     return found.select(F.col("name_id").alias("k"), "field", F.round(F.col("confidence").cast("double"), 3).alias("confidence"))
 
 
+@query("confidence_min_all", """
+select p_partkey as k, 'title' as field, 0.9 as confidence from part union all select p_partkey, 'quality', 0.9 from part
+  union all select p_partkey, 'year', 0.9 from part where p_partkey % 2 = 0 union all select p_partkey, 'season', 0.9 from part where p_partkey % 3 <> 0
+  union all select p_partkey, 'episode', 0.9 from part where p_partkey % 3 = 1 union all select p_partkey, 'edition', 0.9 from part where p_partkey % 5 < 2
+  union all select p_partkey, 'bit_depth', 0.9 from part where p_partkey % 7 = 0 union all select p_partkey, 'hdr', 0.9 from part where p_partkey % 7 = 1
+  union all select p_partkey, 'crc32', 0.9 from part where p_partkey % 11 = 0""")
+def confidence_min_all(spark, sf_dir):
+    """As confidence_min, whose SQL asks for two fields, of every field."""
+    found = result.confidence_by_field(stocked(spark, sf_dir))
+    return found.select(F.col("name_id").alias("k"), "field", F.round(F.col("confidence").cast("double"), 3).alias("confidence"))
+
+
 @query("to_dict_json")
 def to_dict_json(spark, sf_dir):
     return result.to_dict(stocked(spark, sf_dir))
