@@ -29,34 +29,53 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives
-    executors.  The folder goes when the driver ends."""
+    executors.  The folder goes when the driver ends, or before by release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nameloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._nameloom_path = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for t in tables:
+        place, system = _place(t.sparkSession, t._nameloom_path)
+        system.delete(place, True)
 
 
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """As written(), dealt by a hash of key, so that a later grouping by key reads
-    it where it lies and shuffles only the other side."""
+    it where it lies and shuffles only the other side.  Its name is in the
+    session's current database for a moment."""
     spark = df.sparkSession
     name = f"nameloom_{label}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.option("path", path).bucketBy(n, key).saveAsTable(name)
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context.hadoopConfiguration()).deleteOnExit(place)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay
     return found
 
 
+def slices(batches, rows: int = 512):
+    """The batches, a few rows at a time, so that few texts are Python objects at once."""
+    for b in batches:
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+
+
 def per_process(key, build):
     """build() once per Python worker process, kept between tasks."""
     kept = sys.__dict__.setdefault("_nameloom_kept", {})
@@ -96,52 +115,97 @@ def runs(batches, keys: list[str]):
         yield pa.concat_tables(held)
 
 
-def _forest(batches):
-    """Per partition: the edges' components as stars on their smallest ids."""
-    up: dict[int, int] = {}
+#: Edges that a task contracts at a time (some 100 MB while it does).
+EDGES = 1_000_000
 
-    def root(x):
-        while (p := up.setdefault(x, x)) != x:
-            up[x] = up[p]
-            x = up[x]
-        return x
 
-    def stars():
-        found = [(x, r) for x in list(up) if (r := root(x)) != x]
-        up.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["u", "v"])
+def stars(u, v):
+    """Edges as stars on the smallest id of each component: ids hook to the least
+    neighbouring root and paths are halved until nothing changes."""
+    import numpy as np
 
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = root(a), root(b)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        if len(up) > 200_000:
-            yield stars()
-    yield stars()
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while len(u):
+        a, b = root[u], root[v]
+        low = np.minimum(a, b)
+        now = root.copy()
+        np.minimum.at(now, a, low)
+        np.minimum.at(now, b, low)
+        while (now[now] != now).any():
+            now = now[now]
+        if (now == root).all():
+            break
+        root = now
+    other = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[other], ids[root[other]]
+
+
+def _forest(most: int):
+    """Per partition: the edges contracted, `most` at a time."""
+
+    def run(batches):
+        import numpy as np
+
+        held, n = [], 0
+
+        def out():
+            made = stars(*(np.concatenate([np.zeros(0, np.int64), *(h[k] for h in held)]) for k in (0, 1)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["u", "v"])
+
+        for b in batches:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            n += b.num_rows
+            if n >= most:
+                yield out()
+                n = 0
+        yield out()
+
+    return run
+
+
+def with_least(both: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with their u's minimum.  Both sides are tables, so Spark broadcasts
+    minima that it knows to be small and else may split a hub's partition, which
+    it could not if the minima came straight from their aggregation."""
+    return both.join(least, "u")
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+def components(edges: DataFrame, label: str = "components", most: int = EDGES) -> DataFrame:
     """(id, component): the smallest id reachable over edges (u, v), for every
     id that has an edge to another one.
 
-    Edges are first contracted within partitions, then alternating large-star
-    and small-star rounds run until the edges no longer change.  Hubs are safe:
-    minima are pre-aggregated and the joins are ones that AQE may split."""
+    Tasks contract `most` edges at a time to stars.  As many tasks as the measured
+    edges need contract again; a single one's stars are the result.  Several are
+    followed by a large-star and a small-star step, until that changes no edge.
+    Hubs are safe: minima are pre-aggregated and written before they are joined.
+    A round's tables go once the next one's edges are written."""
     e = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
-    e = e.mapInArrow(_forest, "u long, v long").distinct()
-    e = written(e, label)
-    before = None
-    while True:
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now
+    e = written(e.mapInArrow(_forest(most), "u long, v long"), label)
+    size = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    now = size(e)
+    while now[0]:
+        tasks = -(-now[0] // most)
+        packed = written((e.coalesce(1) if tasks == 1 else e.repartition(tasks)).mapInArrow(_forest(2 * most), "u long, v long"), label)
+        release(e)
+        e = packed
+        if tasks == 1:
+            break
+        e = written(e.distinct(), label)
+        release(packed)
+        before = size(e)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = with_least(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        e = written(small.distinct(), label)
+        after = written(small.distinct(), label)
+        release(e, least, large, low)
+        e, now = after, size(after)
+        if now == before:
+            break
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))

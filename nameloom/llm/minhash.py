@@ -7,13 +7,16 @@
    signatures that agree in at least `matches` of `coordinates` places agree
    somewhere in the first coordinates - matches + 1, so later ones need no
    postings, and lists of one are skipped.
-3. The members of a list meet with their signatures (of long lists, two blocks at
-   a time).  Collisions are counted over whole signatures, and members that reach
-   `matches` with another are tied together.  A merge that has tied a member in
-   skips it from then on, so a list gives a forest of ties and never its pairs.
+3. The members of a list meet with their signatures, collisions are counted over
+   whole signatures, and members that reach `matches` with another are tied.  What
+   is tied is skipped from then on, so a list gives a forest and never its pairs.
+   A long list is dealt in blocks, each with the list's leaders.  What these leave
+   untied meets again: a few strays meet every block; a list of many strangers is
+   posted again under a second coordinate after the first, where two signatures
+   that agree often enough must agree too, and so on.
 4. The ties' components are the candidates.  Their members meet with full shingle
-   sets, again in blocks, and those that share enough are linked; here, too, what
-   is joined is skipped.  The links' components are the result.
+   sets, in blocks with leaders as before, then strays against all, and those that
+   share enough are linked.  The links' components are the result.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, per_process, runs, written
+from .common import components, per_process, runs, slices, written
 
-#: Members of a list that meet in one task (half of them if there are more).
-LIST_BLOCK = 8192
+#: Members of a list that meet in one task.
+LIST_BLOCK = 2048
 #: Members of a candidate group that meet in one task, with their shingle sets.
 SET_BLOCK = 1024
-#: Shingles that these may hold together (32 MB), so that groups of very long documents meet in smaller blocks.
-SET_HASHES = 4_000_000
+#: Shingles that these may hold together (8 MB), so that groups of very long documents meet in smaller blocks.
+SET_HASHES = 1_000_000
+#: Members of a long list or large group that every block of it meets.
+LEADERS = 8
 
 
 def _lower():
@@ -105,7 +110,7 @@ def signatures(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
     def sign(batches):
         import hashlib
 
-        for b in batches:
+        for b in slices(batches):
             counts, digests, signs = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, size)
@@ -198,8 +203,8 @@ def _collide(matches: int):
 
 def _sets(size: int):
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_set(t, size).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["id", "part", "shingles"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([shingle_set(t, size).tobytes() for t in b.column(4).to_pylist()], pa.binary())], names=["id", "part", "i", "j", "shingles"])
         per_process("words", _Words).clear()
 
     return run
@@ -247,19 +252,119 @@ def _confirm(percent: int):
     return run
 
 
-def _met(rows: DataFrame, key: str, n: str, block: int, held=None, most: int = 1) -> DataFrame:
-    """rows dealt so that each two members of a key meet: together if it has at
-    most `block` members and these hold at most `most`, else every two of its
-    blocks of about half that size (of one member at least)."""
-    half, fits = F.ceil(F.col(n) / F.lit(block // 2)), F.col(n) <= block
-    if held is not None:
-        half = F.least(F.greatest(half, F.ceil(F.col(held) / F.lit(max(1, most // 2)))), F.col(n))
-        fits &= F.col(held) <= most
-    blocks = F.when(fits, F.lit(1)).otherwise(half).cast("int")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    others = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != F.col("salt")))
-    met = salted.withColumn("other", F.explode(others)).withColumn("i", F.least("salt", "other")).withColumn("j", F.greatest("salt", "other"))
-    return met.drop("salt", "other", n, *([held] if held else [])).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
+def _blocks(n, held, block: int, most: int):
+    """Blocks for n members that hold so much: one if they fit, else such that
+    about half of either limit falls to each, and no more than members."""
+    fits = (n <= block) & (held <= most)
+    halves = F.greatest(F.ceil(n / F.lit(max(1, block // 2))), F.ceil(held / F.lit(max(1, most // 2))))
+    return F.when(fits, F.lit(1)).otherwise(F.least(halves, n)).cast("int")
+
+
+def _salt(blocks):
+    return F.pmod(F.xxhash64("id"), blocks).cast("int")
+
+
+def _first(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """(key, id, i, j): the units in which members first meet.  A key of one block
+    meets whole; the blocks of another have its leaders in common, so the work is
+    in proportion to its members.  sizes: (key, blocks), a table."""
+    units = rows.join(sizes, key).select(key, "id", _salt(F.col("blocks")).alias("i"), F.lit(0).alias("j"))
+    hot = sizes.where("blocks > 1").select(key, "blocks")
+    own = F.xxhash64("id", F.lit(key))
+    leaders = rows.join(hot, key).groupBy(key, "blocks", F.pmod(own, F.lit(LEADERS))).agg(F.min(F.struct(own, "id")).alias("x"))
+    leaders = leaders.select(key, F.col("x.id").alias("id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"))
+    return units.unionByName(leaders)
+
+
+def _tagged(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with the component that each id is tied into so far."""
+    named = groups.select("id", "component")
+    return written(rows.join(named, "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("comp")), "tagged")
+
+
+def _untied(tagged: DataFrame, key: str, block: int, most: int) -> DataFrame:
+    """(key, comp, strays, others): for each key whose members aren't all tied
+    together its largest component, and the blocks of the members in it (others)
+    and of those outside (strays).  A table."""
+    per = tagged.groupBy(key, "comp").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
+    top = per.groupBy(key).agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.max(F.struct("n", "held", "comp")).alias("top")).where("n > top.n")
+    strays = _blocks(F.col("n") - F.col("top.n"), F.col("held") - F.col("top.held"), block, most)
+    return written(top.select(key, F.col("top.comp").alias("big"), strays.alias("strays"), _blocks(F.col("top.n"), F.col("top.held"), max(2, block // 2), max(2, most // 2)).alias("others")), "untied")
+
+
+def _rest(tagged: DataFrame, untied: DataFrame, key: str) -> DataFrame:
+    """(key, id, i, j): the units in which what is outside a key's largest
+    component meets all of the key; pairs within that component don't meet again."""
+    rows = tagged.join(untied, key)
+    inside = rows.where("comp = big").select(key, "id", _salt(F.col("others")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("j"))
+    outside = rows.where("comp <> big").select(key, "id", _salt(F.col("strays")).alias("k"), "strays", "others")
+    against = outside.select(key, "id", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), F.col("k").alias("j"))
+    each = outside.where("strays > 1").select(key, "id", "k", "others", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("o")).where("k <> o")
+    each = each.select(key, "id", (F.col("others") + F.least("k", "o")).cast("int").alias("i"), F.greatest("k", "o").alias("j"))
+    return inside.unionByName(against).unionByName(each)
+
+
+def _together(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
+
+
+def _again(last: int):
+    """(pair, at, id, comp) with signatures to posts under each further coordinate
+    up to `last`."""
+
+    def run(batches):
+        import numpy as np
+        import xxhash
+
+        for b in slices(batches, 2048):
+            pair, at, ids, comp = (b.column(k).to_pylist() for k in range(4))
+            signs = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            rows = [(xxhash.xxh64_intdigest(p.to_bytes(8, "little", signed=True) + bytes((c, signs[k, c]))) - 2**63, c, i, m) for k, (p, a, i, m) in enumerate(zip(pair, at, ids, comp)) for c in range(a + 1, last + 1)]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["pair", "at", "id", "comp"])
+
+    return run
+
+
+def _candidates(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
+    """(id, component) over signatures (id, signature) that agree in `matches`."""
+    first = coordinates - matches  # the last place of a prefix
+    short = written(classes.select("id", "signature").mapInArrow(_short(coordinates), "id long, signature binary"), "short")
+    posts = classes.select("id", "signature").mapInArrow(_post(first + 1), "pair long, id long")
+    blocks = _blocks(F.col("n"), F.lit(0), LIST_BLOCK, 1)
+    lists = written(posts.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair", blocks.alias("blocks")), "lists")
+
+    def tied(units):
+        return _together(units.join(short, "id"), "pair").select("pair", "i", "j", "id", "signature").mapInArrow(_collide(matches), "u long, v long")
+
+    ties = written(tied(_first(posts, lists, "pair")), "ties")
+    groups = components(ties, "candidates")
+    hot = lists.where("blocks > 1").select("pair")
+    if hot.isEmpty():
+        return groups
+    found = [groups.select(F.col("id").alias("u"), F.col("component").alias("v"))]
+    rows = posts.join(hot, "pair").select("pair", F.shiftright("pair", 32).cast("int").alias("at"), "id")
+    tagged = _tagged(rows.withColumn("held", F.lit(0)), groups)
+    for last in range(first + 1, coordinates):
+        untied = _untied(tagged, "pair", LIST_BLOCK, 1)
+        found.append(written(tied(_rest(tagged, untied.where("strays = 1"), "pair")), "ties"))
+        many = untied.where("strays > 1").select("pair")
+        if many.isEmpty():
+            break
+        # lists of many strangers: posted under a further place, where what is near agrees too
+        rows = tagged.join(many, "pair").join(short, "id").select("pair", "at", "id", "comp", "signature")
+        posts = written(rows.mapInArrow(_again(last), "pair long, at int, id long, comp long"), "posts")
+        lists = posts.groupBy("pair").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("n > 1 and a < b")
+        lists = written(lists.select("pair", blocks.alias("blocks")), "lists")
+        found.append(written(tied(_first(posts.select("pair", "id"), lists, "pair")), "ties"))
+        hot = lists.where("blocks > 1").select("pair")
+        tagged = written(posts.join(hot, "pair").select("pair", "at", "id", F.lit(0).alias("held"), "comp"), "tagged")
+        if hot.isEmpty():
+            break
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return components(every, "candidates")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 34, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,24 +387,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, coordinat
     usable = signed.where("digest is not null and doc_id is not null")
     classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
 
-    # Lists of one are skipped by their counts; the rest meet with a byte of each
-    # coordinate, which can only make collisions of more pairs.
-    posts = classes.select("id", "signature").mapInArrow(_post(coordinates - matches + 1), "pair long, id long")
-    lists = posts.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
-    posts = posts.join(lists, "pair")
-    short = classes.select("id", "signature").mapInArrow(_short(coordinates), "id long, signature binary")
-    ties = _met(posts.join(short, "id"), "pair", "n", LIST_BLOCK).mapInArrow(_collide(matches), "u long, v long")
-    groups = components(ties, "candidates")
+    groups = _candidates(classes, coordinates, matches)
     members = groups.select("id", F.col("component").alias("part")).unionByName(groups.select(F.col("component").alias("id"), F.col("component").alias("part")).distinct())
-    members = written(members.distinct(), "members")
-
-    known = usable.select(F.col("doc_id").alias("id"), "n_shingles").join(members, "id")
-    sizes = known.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
-    texts = rows.join(members, F.col("doc_id") == F.col("id")).select("id", "part", "text")
-    sets = texts.mapInArrow(_sets(size), "id long, part long, shingles binary").where(F.octet_length("shingles") > 0)
-    links = _met(sets.join(sizes, "part"), "part", "n", SET_BLOCK, "held", SET_HASHES).mapInArrow(_confirm(percent), "u long, v long")
-
-    same = usable.join(classes.select("digest", "id"), "digest").where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    members = members.distinct().join(usable.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n_shingles").alias("held")), "id")
+    members = written(members, "members")
+
+    def linked(units):
+        """Units meet with full sets, made from the texts again."""
+        texts = rows.join(units, F.col("doc_id") == F.col("id")).select("id", "part", "i", "j", "text")
+        sets = texts.mapInArrow(_sets(size), "id long, part long, i int, j int, shingles binary").where(F.octet_length("shingles") > 0)
+        return _together(sets, "part").mapInArrow(_confirm(percent), "u long, v long")
+
+    blocks = _blocks(F.col("n"), F.col("held"), SET_BLOCK, SET_HASHES)
+    sizes = members.groupBy("part").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
+    sizes = written(sizes.select("part", blocks.alias("blocks")), "sizes")
+    links = written(linked(written(_first(members, sizes, "part"), "units")), "links")
+    hot = sizes.where("blocks > 1").select("part")
+    if not hot.isEmpty():
+        tagged = _tagged(members.join(hot, "part").select("part", "id", "held"), components(links, "links"))
+        untied = _untied(tagged, "part", SET_BLOCK, SET_HASHES)
+        if not untied.isEmpty():
+            links = links.unionByName(linked(written(_rest(tagged, untied, "part"), "units")))
+
+    same = usable.join(written(classes.select("digest", "id"), "digests"), "digest").where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     found = components(links.unionByName(same), "links")
     out = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
@@ -308,7 +418,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, coordinat
 
 
 def _short(coordinates: int):
-    """A byte of each coordinate."""
+    """A byte of each coordinate, which can only make collisions of more pairs."""
 
     def run(batches):
         import numpy as np
