@@ -12,8 +12,8 @@
    is tied is skipped from then on, so a list gives a forest and never its pairs.
    A long list is dealt in blocks, each with the list's leaders.  What these leave
    untied meets again: a few strays meet every block; a list of many strangers is
-   posted again under a second coordinate after the first, where two signatures
-   that agree often enough must agree too, and so on.
+   posted again under bands of further coordinates.  Signatures that are near may
+   differ in few of these, so cut into one band more than that, a band agrees.
 4. The ties' components are the candidates.  Their members meet with full shingle
    sets, in blocks with leaders as before, then strays against all, and those that
    share enough are linked.  The links' components are the result.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import components, per_process, runs, slices, written
 
 #: Members of a list that meet in one task.
-LIST_BLOCK = 2048
+LIST_BLOCK = 4096
 #: Members of a candidate group that meet in one task, with their shingle sets.
 SET_BLOCK = 1024
 #: Shingles that these may hold together (8 MB), so that groups of very long documents meet in smaller blocks.
@@ -282,14 +282,14 @@ def _tagged(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return written(rows.join(named, "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("comp")), "tagged")
 
 
-def _untied(tagged: DataFrame, key: str, block: int, most: int) -> DataFrame:
-    """(key, comp, strays, others): for each key whose members aren't all tied
+def _untied(tagged: DataFrame, keys: list[str], block: int, most: int) -> DataFrame:
+    """(keys, big, strays, others): for each key whose members aren't all tied
     together its largest component, and the blocks of the members in it (others)
     and of those outside (strays).  A table."""
-    per = tagged.groupBy(key, "comp").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
-    top = per.groupBy(key).agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.max(F.struct("n", "held", "comp")).alias("top")).where("n > top.n")
+    per = tagged.groupBy(*keys, "comp").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
+    top = per.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.max(F.struct("n", "held", "comp")).alias("top")).where("n > top.n")
     strays = _blocks(F.col("n") - F.col("top.n"), F.col("held") - F.col("top.held"), block, most)
-    return written(top.select(key, F.col("top.comp").alias("big"), strays.alias("strays"), _blocks(F.col("top.n"), F.col("top.held"), max(2, block // 2), max(2, most // 2)).alias("others")), "untied")
+    return written(top.select(*keys, F.col("top.comp").alias("big"), strays.alias("strays"), _blocks(F.col("top.n"), F.col("top.held"), max(2, block // 2), max(2, most // 2)).alias("others")), "untied")
 
 
 def _rest(tagged: DataFrame, untied: DataFrame, key: str) -> DataFrame:
@@ -309,58 +309,68 @@ def _together(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _again(last: int):
-    """(pair, at, id, comp) with signatures to posts under each further coordinate
-    up to `last`."""
+    """Lists' members (pair, at, misses, id, comp, signature) to posts under bands.
+
+    Members that are near agree up to place `at` as their list says and differ in
+    at most `misses` of the places from there to `last`.  These are cut into
+    misses + 1 bands, of which one must agree; if it is band j, those before it
+    used up j misses."""
 
     def run(batches):
         import numpy as np
         import xxhash
 
         for b in slices(batches, 2048):
-            pair, at, ids, comp = (b.column(k).to_pylist() for k in range(4))
-            signs = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            rows = [(xxhash.xxh64_intdigest(p.to_bytes(8, "little", signed=True) + bytes((c, signs[k, c]))) - 2**63, c, i, m) for k, (p, a, i, m) in enumerate(zip(pair, at, ids, comp)) for c in range(a + 1, last + 1)]
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["pair", "at", "id", "comp"])
+            pair, at, misses, ids, comp = (b.column(k).to_pylist() for k in range(5))
+            rows = []
+            for p, a, m, i, c, sign in zip(pair, at, misses, ids, comp, b.column(5).to_pylist()):
+                size = (last - a) // (m + 1)
+                for j in range(m + 1):
+                    end = a + (j + 1) * size
+                    key = xxhash.xxh64_intdigest(p.to_bytes(8, "little", signed=True) + bytes((j,)) + sign[end - size + 1 : end + 1])
+                    rows.append((key - 2**63, end, m - j, i, c))
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["pair", "at", "misses", "id", "comp"])
 
     return run
 
 
 def _candidates(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """(id, component) over signatures (id, signature) that agree in `matches`."""
-    first = coordinates - matches  # the last place of a prefix
+    misses, last = coordinates - matches, coordinates - 1
     short = written(classes.select("id", "signature").mapInArrow(_short(coordinates), "id long, signature binary"), "short")
-    posts = classes.select("id", "signature").mapInArrow(_post(first + 1), "pair long, id long")
+    posts = classes.select("id", "signature").mapInArrow(_post(misses + 1), "pair long, id long")
     blocks = _blocks(F.col("n"), F.lit(0), LIST_BLOCK, 1)
     lists = written(posts.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair", blocks.alias("blocks")), "lists")
 
     def tied(units):
         return _together(units.join(short, "id"), "pair").select("pair", "i", "j", "id", "signature").mapInArrow(_collide(matches), "u long, v long")
 
-    ties = written(tied(_first(posts, lists, "pair")), "ties")
-    groups = components(ties, "candidates")
+    found = [written(tied(_first(posts, lists, "pair")), "ties")]
+    groups = components(found[0], "candidates")
     hot = lists.where("blocks > 1").select("pair")
     if hot.isEmpty():
         return groups
-    found = [groups.select(F.col("id").alias("u"), F.col("component").alias("v"))]
-    rows = posts.join(hot, "pair").select("pair", F.shiftright("pair", 32).cast("int").alias("at"), "id")
-    tagged = _tagged(rows.withColumn("held", F.lit(0)), groups)
-    for last in range(first + 1, coordinates):
-        untied = _untied(tagged, "pair", LIST_BLOCK, 1)
-        found.append(written(tied(_rest(tagged, untied.where("strays = 1"), "pair")), "ties"))
-        many = untied.where("strays > 1").select("pair")
+    # a list's place is where its members agree first, so they differ in all before it
+    place = F.shiftright("pair", 32).cast("int")
+    state = ["pair", "at", "misses"]
+    tagged = _tagged(posts.join(hot, "pair").select("pair", place.alias("at"), (misses - place).alias("misses"), "id", F.lit(0).alias("held")), groups)
+    while True:
+        untied = _untied(tagged, state, LIST_BLOCK, 1)
+        cut = (F.col("strays") > 1) & (F.lit(last) - F.col("at") > F.col("misses"))
+        found.append(written(tied(_rest(tagged, untied.where(~cut).drop("at", "misses"), "pair").select("pair", "id", "i", "j")), "ties"))
+        many = untied.where(cut).select("pair")
         if many.isEmpty():
             break
-        # lists of many strangers: posted under a further place, where what is near agrees too
-        rows = tagged.join(many, "pair").join(short, "id").select("pair", "at", "id", "comp", "signature")
-        posts = written(rows.mapInArrow(_again(last), "pair long, at int, id long, comp long"), "posts")
+        rows = tagged.join(many, "pair").join(short, "id").select(*state, "id", "comp", "signature")
+        posts = written(rows.mapInArrow(_again(last), "pair long, at int, misses int, id long, comp long"), "posts")
         lists = posts.groupBy("pair").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("n > 1 and a < b")
         lists = written(lists.select("pair", blocks.alias("blocks")), "lists")
         found.append(written(tied(_first(posts.select("pair", "id"), lists, "pair")), "ties"))
         hot = lists.where("blocks > 1").select("pair")
-        tagged = written(posts.join(hot, "pair").select("pair", "at", "id", F.lit(0).alias("held"), "comp"), "tagged")
         if hot.isEmpty():
             break
+        tagged = written(posts.join(hot, "pair").select(*state, "id", F.lit(0).alias("held"), "comp"), "tagged")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
@@ -405,7 +415,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, coordinat
     hot = sizes.where("blocks > 1").select("part")
     if not hot.isEmpty():
         tagged = _tagged(members.join(hot, "part").select("part", "id", "held"), components(links, "links"))
-        untied = _untied(tagged, "part", SET_BLOCK, SET_HASHES)
+        untied = _untied(tagged, ["part"], SET_BLOCK, SET_HASHES)
         if not untied.isEmpty():
             links = links.unionByName(linked(written(_rest(tagged, untied, "part"), "units")))
 
@@ -429,3 +439,29 @@ def _short(coordinates: int):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in signs.astype(np.uint8)], pa.binary())], names=["id", "signature"])
 
     return run
+
+
+def oracle(size: int = 5, percent: int = 75) -> str:
+    """DuckDB SQL for near_duplicates over documents (its ids don't repeat)."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < {size} then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i : i + {size - 1}], ' '))) end as s from words
+), shingles as (
+  select doc_id, unnest(s) as g from sets
+), pairs as (
+  select a.doc_id as u, b.doc_id as v, count(*) as n from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by all
+), links as (
+  select u, v from pairs join sets x on x.doc_id = u join sets y on y.doc_id = v where 100 * n >= {percent} * (len(x.s) + len(y.s) - n)
+), edges as (
+  select u, v from links union all select v, u from links
+), reached(id, other) as (
+  select doc_id, doc_id from documents union select r.id, e.v from reached r join edges e on e.u = r.other
+), least as (
+  select id, min(other) as component_id from reached group by id
+)
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from sets join least on id = doc_id
+"""
