@@ -4,11 +4,12 @@
    word once and its documents as positions into that list.
 2. The blocks' words go by hash to buckets.  A bucket encodes each distinct word
    of the whole corpus once and sends the ids back to the blocks that asked.
-3. Blocks rebuild their documents by position; decoding joins the table of each
-   token's bytes.
+3. Blocks rebuild their documents by position.  To decode them, the table of each
+   token's bytes is joined to every block.
 
-Rows are packed (one per block, or per block and bucket), so what is shuffled is
-a few bytes per distinct word and block, and the positions once; texts are not.
+Rows are packed (one per block, or per block and bucket that it has words of), so
+what is shuffled is a few bytes per distinct word and block, and the positions
+once; texts are not.
 """
 
 from __future__ import annotations
@@ -17,21 +18,28 @@ import base64
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, per_process
+from .common import bucketed, per_process, slices
 
 #: Characters of text in a block.  A larger block repeats fewer words.
 BLOCK_CHARS = 8_000_000
-#: Bytes of text for one bucket of words.
-BUCKET_BYTES = 16_000_000
+#: Distinct words (by an estimate) of a bucket.
+BUCKET_WORDS = 100_000
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes to ids of a .tiktoken file."""
+def shipped(path: str) -> tuple[str, str, bytes]:
+    """A tokenizer's file as it goes to executors, which need not have it: its
+    digest, its name and its content."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        data = f.read()
+    return hashlib.blake2b(data, digest_size=16).hexdigest(), path, data
+
+
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """Token bytes to ids of a .tiktoken file."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -42,14 +50,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def ranks_of_json(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
-    """Ranks and special tokens of a byte-level tokenizers file whose ids are in
-    the order of its merges (else ValueError)."""
+def ranks_of_json(data: bytes) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ranks and added tokens of a byte-level tokenizers file whose ids are in the
+    order of its merges (else ValueError)."""
     import json
 
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)
+    model = json.loads(data)
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"]):
+        raise ValueError("added tokens that take what is around them aren't supported")
     alphabet = byte_alphabet()
     ranks = {bytes(alphabet[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["model"]["merges"]]
@@ -59,11 +68,24 @@ def ranks_of_json(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return ranks, special
 
 
-def encoding(path: str, pattern: str):
+def ranks_of(source) -> tuple[dict[bytes, int], dict[str, int]]:
+    return ranks_of_json(source[2]) if source[1].endswith(".json") else (read_ranks(source[2]), {})
+
+
+def encoding(source, pattern: str):
+    """encode_ordinary reads every text as plain; encode with allowed_special="all"
+    gives added tokens that a text spells their ids."""
     import tiktoken
 
-    ranks = ranks_of_json(path)[0] if path.endswith(".json") else read_ranks(path)
-    return tiktoken.Encoding("nameloom", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    ranks, special = ranks_of(source)
+    return tiktoken.Encoding("nameloom", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+
+def token_table(spark: SparkSession, source) -> DataFrame:
+    """id, bytes of every token; as many rows as the vocabulary has."""
+    ranks, special = ranks_of(source)
+    every = [*ranks.items(), *((t.encode(), i) for t, i in special.items())]
+    return spark.createDataFrame([(i, bytearray(t)) for t, i in every], "id long, bytes binary")
 
 
 def _zip(data: bytes) -> bytes:
@@ -101,7 +123,8 @@ class _Codes(dict):
 
 def _blocks(pattern: str, buckets: int, block_chars: int):
     """Texts to packed blocks: block, doc_ids, lengths (pre-tokens a document),
-    codes (of all pre-tokens), and by bucket the words' codes, lengths, bytes."""
+    codes (of all pre-tokens), and by bucket, if it has words of it, the words'
+    codes, lengths, bytes."""
 
     def block(ids, texts, number):
         import numpy as np
@@ -118,12 +141,9 @@ def _blocks(pattern: str, buckets: int, block_chars: int):
         words = [w.encode() for w in codes]
         where = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.uint32, len(words)) % buckets
         order = np.argsort(where, kind="stable")
-        cuts = np.searchsorted(where[order], np.arange(buckets + 1))
         asked = []
-        for k in range(buckets):
-            own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                asked.append({"bucket": k, "codes": pack_ints(own), "sizes": pack_ints([len(words[i]) for i in own]), "bytes": _zip(b"".join(words[i] for i in own))})
+        for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(words) else ():
+            asked.append({"bucket": int(where[own[0]]), "codes": pack_ints(own), "sizes": pack_ints([len(words[i]) for i in own]), "bytes": _zip(b"".join(words[i] for i in own))})
         key = hashlib.blake2b(digest_size=8)
         key.update(repr((number, ids[:1], ids[-1:], len(ids))).encode())
         return {"block": int.from_bytes(key.digest(), "little", signed=True), "doc_ids": ids, "lengths": lengths, "codes": pack_ints(np.concatenate([np.zeros(0, np.uint32), *parts])), "asked": asked}
@@ -135,7 +155,7 @@ def _blocks(pattern: str, buckets: int, block_chars: int):
         part, number = task.partitionId() if task else 0, 0
         schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary()), ("asked", pa.list_(pa.struct([("bucket", pa.int64()), ("codes", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())])))])
         ids, texts, chars = [], [], 0
-        for b in batches:
+        for b in slices(batches):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(i)
                 texts.append(t or "")
@@ -149,15 +169,15 @@ def _blocks(pattern: str, buckets: int, block_chars: int):
     return run
 
 
-def _encode_bucket(path: str, pattern: str):
+def _encode_bucket(source, pattern: str):
     """Sorted by bucket: every distinct word of a bucket is encoded once."""
 
     def run(batches):
         import numpy as np
 
-        piece = per_process(("bpe", path), lambda: encoding(path, pattern))._encode_single_piece
+        piece = per_process(("bpe", source[0]), lambda: encoding(source, pattern))._encode_single_piece
         bucket, known = None, {}
-        for b in batches:
+        for b in slices(batches, 16):
             for row in b.to_pylist():
                 if row["bucket"] != bucket:
                     bucket, known = row["bucket"], {}
@@ -176,27 +196,41 @@ def _encode_bucket(path: str, pattern: str):
     return run
 
 
-def _rebuild(path: str, whole: bool):
-    """A block's documents from its positions and the ids that came back."""
+def _packed_tokens(key, t):
+    """The token-byte table as one row."""
+    import numpy as np
+
+    ids, own = np.asarray(t.column("id")), t.column("bytes").to_pylist()
+    return pa.table({"k": pa.array([0], pa.int32()), "ids": pa.array([pack_ints(ids)], pa.binary()), "counts": pa.array([pack_ints([len(x) for x in own])], pa.binary()), "bytes": pa.array([_zip(b"".join(own))], pa.binary())})
+
+
+def _rebuild(whole: bool):
+    """A block's documents from its positions, the ids that came back and the
+    bytes of tokens."""
 
     def run(key, block, answers):
         import numpy as np
 
-        def tokens():
-            ranks = read_ranks(path) if not path.endswith(".json") else ranks_of_json(path)[0]
-            return {i: b for b, i in ranks.items()}
-
-        by_id = per_process(("tokens", path), tokens)
-        codes = [unpack_ints(x) for x in answers["codes"].to_pylist()]
-        counts = [unpack_ints(x).astype(np.int64) for x in answers["counts"].to_pylist()]
-        flat = np.concatenate([np.zeros(0, np.uint32), *(unpack_ints(x) for x in answers["ids"].to_pylist())])
+        by_id, codes, counts, ids_back = {}, [], [], []
+        for row in answers.to_pylist():
+            if row["bytes"] is None:
+                codes.append(unpack_ints(row["codes"]))
+                counts.append(unpack_ints(row["counts"]).astype(np.int64))
+                ids_back.append(unpack_ints(row["ids"]))
+            else:
+                raw, ends = _unzip(row["bytes"]), np.cumsum(unpack_ints(row["counts"]).astype(np.int64)).tolist()
+                by_id = {i: raw[a:b] for i, a, b in zip(unpack_ints(row["ids"]).tolist(), [0, *ends], ends)}
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids_back])
         size = sum(map(len, codes))
         count, start = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        at = 0
-        for c, n in zip(codes, counts):
+        decoded, at = [b""] * size, 0
+        for c, n, ids in zip(codes, counts, ids_back):
             count[c] = n
             start[c] = at + np.cumsum(n) - n
             at += int(n.sum())
+            tokens, ends = [by_id[i] for i in ids.tolist()], np.cumsum(n).tolist()
+            for code, a, b in zip(c.tolist(), [0, *ends], ends):
+                decoded[code] = b"".join(tokens[a:b])
         out = []
         for row in block.to_pylist():
             places = unpack_ints(row["codes"])
@@ -208,26 +242,36 @@ def _rebuild(path: str, whole: bool):
                 ends = np.cumsum(c)
                 total = int(ends[-1]) if n else 0
                 ids = flat[np.repeat(start[own] - ends + c, c) + np.arange(total)].astype("<u4")
-                decoded = b"".join(map(by_id.__getitem__, ids.tolist()))
-                made = {"doc_id": doc_id, "n_tokens": total, "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
-                out.append(made | ({"ids": ids.tolist(), "decoded": decoded} if whole else {}))
+                text = b"".join([decoded[k] for k in own.tolist()])
+                made = {"doc_id": doc_id, "n_tokens": total, "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(text).hexdigest()}
+                out.append(made | ({"ids": ids.tolist(), "decoded": text} if whole else {}))
         return pa.Table.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int64())), ("decoded", pa.binary())] if whole else [])))
 
     return run
 
 
-def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_chars: int = BLOCK_CHARS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_chars: int = BLOCK_CHARS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
     Returns doc_id, n_tokens, the SHA-256 of the ids (little-endian unsigned
     32-bit) and of the decoded bytes, and with_ids the ids and the bytes.  Null
     texts count as empty; empty texts have no ids.  Null ids and repeated rows
     each return a row of their own; other columns are left out.
+
+    Buckets follow from an estimate of the corpus's distinct words, which grow far
+    slower than its texts.
     """
+    spark = docs.sparkSession
+    source = shipped(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
+    words = rows.select(F.explode(F.split("text", r"[ \n]")).alias("word")).agg(F.approx_count_distinct("word")).first()[0] or 0
+    buckets = max(1, -(-words // bucket_words), min(2 * spark.sparkContext.defaultParallelism, words // 5000))
     blocks = bucketed(rows.mapInArrow(_blocks(pattern, buckets, block_chars), "block long, doc_ids array<long>, lengths array<long>, codes binary, asked array<struct<bucket long, codes binary, sizes binary, bytes binary>>"), "block", "bpe")
     asked = blocks.select("block", F.explode("asked").alias("a")).select("a.bucket", "block", "a.codes", "a.sizes", "a.bytes")
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_bucket(path, pattern), "block long, codes binary, counts binary, ids binary")
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_bucket(source, pattern), "block long, codes binary, counts binary, ids binary")
+    # one row of the vocabulary's size, for every block
+    tokens = token_table(spark, source).groupBy(F.lit(0).alias("k")).applyInArrow(_packed_tokens, "k int, ids binary, counts binary, bytes binary")
+    tokens = blocks.select("block", F.lit(0).alias("k")).join(F.broadcast(tokens), "k").select("block", F.lit(None).cast("binary").alias("codes"), "counts", "ids", "bytes")
+    known = answers.withColumn("bytes", F.lit(None).cast("binary")).unionByName(tokens)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded binary" if with_ids else "")
-    return blocks.select("block", "doc_ids", "lengths", "codes").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_rebuild(path, with_ids), schema)
+    return blocks.select("block", "doc_ids", "lengths", "codes").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_rebuild(with_ids), schema)

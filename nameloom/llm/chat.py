@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoding
-from .common import per_process, written
+from .bpe import encoding, shipped
+from .common import per_process, slices, written
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 LOST = re.compile(r"\\(.)", re.S)
@@ -76,40 +76,53 @@ def _rows(batches):
 
 
 def _chain(batches):
-    """Turns in order to nodes: a node is the hash of its parent, role and text."""
-    schema = pa.schema([("conv_id", pa.int64()), ("depth", pa.int64()), ("node", pa.binary()), ("role", pa.string()), ("text", pa.string())])
+    """Turns in order to nodes: a node is the hash of its parent and its turn."""
+    schema = pa.schema([("conv_id", pa.int64()), ("depth", pa.int64()), ("node", pa.binary()), ("turn", pa.int64()), ("said", pa.binary()), ("again", pa.bool_())])
 
     def rows():
-        now, depth, node = None, 0, b""
-        for conv, _, role, text in _rows(batches):
+        now, depth, node, last = None, 0, b"", None
+        for conv, turn, said in _rows(batches):
             if conv != now:
-                now, depth, node = conv, 0, b""
-            role, text = (role or "").encode("utf-8", "surrogatepass"), (text or "").encode("utf-8", "surrogatepass")
-            h = hashlib.blake2b(node, digest_size=16)
-            h.update(len(role).to_bytes(8, "little") + role + text)
-            node = h.digest()
-            yield conv, depth, node, role.decode("utf-8", "surrogatepass"), text.decode("utf-8", "surrogatepass")
+                now, depth, node, last = conv, 0, b"", None
+            node = hashlib.blake2b(node + said, digest_size=16).digest()
+            yield conv, depth, node, turn, said, (turn, said) == last
+            last = turn, said
             depth += 1
 
     yield from _batches(rows(), schema)
 
 
-def _nodes(path: str, pattern: str):
-    """Owned turns to formatted nodes with their ids, in the order of a branch."""
-    schema = pa.schema([("owner", pa.int64()), ("depth", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("loss_from", pa.int32()), ("loss_to", pa.int32()), ("input_ids", pa.list_(pa.int32())), ("n_tokens", pa.int64())])
+def pack_ids(ids) -> bytes:
+    """Token ids of two bytes each where all fit, else four; the first byte says which."""
+    import numpy as np
+
+    v = np.array(ids, np.int64)
+    wide = 2 if not len(v) or v.max() < 65536 else 4
+    return bytes([wide]) + v.astype(f"<u{wide}").tobytes()
+
+
+def unpack_ids(data: bytes) -> list[int]:
+    import numpy as np
+
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).tolist()
+
+
+def _nodes(source, pattern: str):
+    """Owned turns to nodes: their ids, and which of them are under the loss mask."""
+    schema = pa.schema([("owner", pa.int64()), ("depth", pa.int64()), ("input_ids", pa.binary()), ("loss_from", pa.int32()), ("loss_to", pa.int32()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        encode = per_process(("bpe", path), lambda: encoding(path, pattern)).encode_ordinary
+        encode = per_process(("bpe", source[0]), lambda: encoding(source, pattern)).encode_ordinary
 
         def rows():
-            for owner, depth, role, text in _rows(batches):
-                made = format_turn(role, text)
-                at = len(START) + len(escape_role(role)) + 1
-                loss = (at, len(made) - len(END)) if role == "assistant" else (0, 0)
-                ids = encode(made)
-                yield owner, depth, role, made, *loss, ids, len(ids)
+            for owner, depth, role, text in _rows(slices(batches)):
+                # encoded apart, so that the mask begins and ends between tokens
+                head, said, tail = encode(f"{START}{escape_role(role)}\n"), encode(escape(text)), encode(END)
+                loss = (len(head), len(head) + len(said)) if role == "assistant" else (0, 0)
+                ids = head + said + tail
+                yield owner, depth, pack_ids(ids), *loss, len(ids)
 
-        yield from _batches(rows(), schema, 5000)
+        yield from _batches(rows(), schema, 2000)
 
     return run
 
@@ -178,34 +191,47 @@ def _before(batches):
 
 
 class ChatTree:
-    """nodes: owner, depth, role, formatted, loss_from, loss_to (characters of
-    formatted under the loss mask), input_ids, start (on the line), position (of
-    its first token), attends (array of [begin, end) of the line, ancestors
-    first, its own branch's earlier nodes last).
-    paths: conv_id, depth, owner; a conversation's nodes."""
+    """nodes: owner, depth, input_ids (binary, see unpack_ids), loss_from and loss_to
+    (of its tokens, those under the loss mask), n_tokens.
+    places: owner, depth, n_tokens, branch (where its branch starts on the line),
+    start (on the line), position (id of its first token's position).
+    branches: owner, start, attends (array of [begin, end) of the line: what all
+    tokens of the branch attend to besides the earlier ones of their branch).
+    leaves: conv_id, owner, depth; a conversation's last node.
+    source: the tokenizer's file, pattern: by which it splits."""
 
-    def __init__(self, nodes: DataFrame, paths: DataFrame):
-        self.nodes, self.paths = nodes, paths
+    def __init__(self, nodes: DataFrame, places: DataFrame, branches: DataFrame, leaves: DataFrame, source, pattern: str):
+        self.nodes, self.places, self.branches, self.leaves, self.source, self.pattern = nodes, places, branches, leaves, source, pattern
 
 
 def chat_tree(turns: DataFrame, path: str, pattern: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> ChatTree:
-    """Formats all conversations, turns in order (ties by role and text, nulls
-    first).  Null roles and texts count as empty; rows without conversation id
-    are left out, as are other columns.  Repeated turns are turns.
-
-    Turns are streamed in order, so a conversation may be of any length; nodes
-    that many conversations share are found by pre-aggregated minima and joins
-    that Spark may split, and the line of tokens is added up by key ranges."""
-    cols = [F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")]
-    rows = turns.select(*cols).where("conv_id is not null").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    chained = written(rows.mapInArrow(_chain, "conv_id long, depth long, node binary, role string, text string"), "chain")
+    """Formats all conversations, turns in order (null turns first, ties by a hash
+    of role and text).  Null roles and texts count as empty; rows without
+    conversation id are left out, as are other columns.  Repeated turns are turns.
+
+    Turns are put in order by their hashes alone and streamed, so a conversation
+    may be of any length; a text is shuffled once, to become a node.  Nodes that
+    many conversations share are found by pre-aggregated minima and joins that
+    Spark may split, and the line of tokens is added up by key ranges."""
+    spark = turns.sparkSession
+    source = shipped(path)
+    string = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-(2**63))).alias("turn"), string(role_col).alias("role"), string(text_col).alias("text")).where("conv_id is not null")
+    rows = rows.withColumn("said", F.substring(F.unhex(F.sha2(F.concat(F.hex("role"), F.lit(" "), "text"), 256)), 1, 16))
+    ordered = rows.select("conv_id", "turn", "said").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "said")
+    chained = written(ordered.mapInArrow(_chain, "conv_id long, depth long, node binary, turn long, said binary, again boolean"), "chain")
     # as a table of its own, its join with all turns can be split or broadcast
     owners = written(chained.groupBy("node").agg(F.min("conv_id").alias("owner")), "owners")
-    paths = written(chained.select("conv_id", "depth", "node").join(owners, "node").select("conv_id", "depth", "owner"), "paths")
+    paths = written(chained.join(owners, "node").select("conv_id", "depth", "owner", "turn", "said"), "paths")
 
-    own = paths.where("conv_id = owner").select("conv_id", "depth")
-    owned = chained.join(own, ["conv_id", "depth"]).select(F.col("conv_id").alias("owner"), "depth", "role", "text")
-    nodes = written(owned.mapInArrow(_nodes(path, pattern), "owner long, depth long, role string, formatted string, loss_from int, loss_to int, input_ids array<int>, n_tokens long"), "nodes")
+    # owned turns fetch their texts; of rows that repeat a turn of a conversation one is enough
+    key = ["conv_id", "turn", "said"]
+    again = written(chained.where("again").select(*key).distinct(), "again")
+    if not again.isEmpty():
+        rows = rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates(key))
+    own = written(paths.where("conv_id = owner").select(*key, "depth"), "own")
+    owned = rows.join(own, key).select(F.col("conv_id").alias("owner"), "depth", "role", "text")
+    nodes = written(owned.mapInArrow(_nodes(source, pattern), "owner long, depth long, input_ids binary, loss_from int, loss_to int, n_tokens long"), "nodes")
 
     sizes = nodes.select("owner", "depth", "n_tokens").repartition("owner").sortWithinPartitions("owner", "depth")
     sizes = written(sizes.mapInArrow(_before, "owner long, depth long, n_tokens long, before long"), "sizes")
@@ -213,7 +239,7 @@ def chat_tree(turns: DataFrame, path: str, pattern: str, conv_col: str = "conv_i
     steps = steps.repartition("conv_id").sortWithinPartitions("conv_id", "depth")
     branches = steps.mapInArrow(_branches, "owner long, from_depth long, position long, n_tokens long, key array<long>, ancestors array<struct<owner: long, begin: long, end: long>>")
     branches = written(branches, "branches")
-    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     line = branches.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(_cumulate, "owner long, from_depth long, position long, n_tokens long, ancestors array<struct<owner: long, begin: long, end: long>>, part long, local long")
     line = written(line, "line")
     # a number per partition
@@ -221,52 +247,92 @@ def chat_tree(turns: DataFrame, path: str, pattern: str, conv_col: str = "conv_i
     for r in line.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
         offsets[r["part"]] = at
         at += r["n"]
-    start = turns.sparkSession.createDataFrame([*offsets.items()], "part long, base long")
-    line = line.join(F.broadcast(start), "part").withColumn("start", F.col("base") + F.col("local"))
+    base = spark.createDataFrame([*offsets.items()], "part long, base long")
+    line = line.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("local"))
 
     starts = line.select(F.col("owner").alias("above"), "start")
     spans = line.select("owner", F.posexplode("ancestors").alias("k", "a")).select("owner", "k", F.col("a.owner").alias("above"), "a.begin", "a.end")
     spans = spans.join(starts, "above").groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")))).alias("spans"))
-    line = line.select("owner", "start", "position").join(spans, "owner", "left")
-    placed = nodes.join(sizes.select("owner", "depth", "before"), ["owner", "depth"]).join(line, "owner")
     above = F.transform(F.coalesce("spans", F.array().cast("array<struct<k:int,begin:bigint,end:bigint>>")), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end")))
-    earlier = F.when(F.col("before") > 0, F.array(F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("before")).alias("end")))).otherwise(F.array().cast("array<struct<begin:bigint,end:bigint>>"))
-    nodes = placed.select(
-        "owner", "depth", "role", "formatted", "loss_from", "loss_to", "input_ids",
-        (F.col("start") + F.col("before")).alias("start"), (F.col("position") + F.col("before")).alias("position"), F.concat(above, earlier).alias("attends"),
-    )
-    return ChatTree(nodes, paths)
+    laid = written(line.select("owner", "start", "position").join(spans, "owner", "left").select("owner", "start", "position", above.alias("attends")), "laid")
+    places = sizes.join(laid.select("owner", F.col("start").alias("branch"), F.col("position").alias("first")), "owner")
+    places = written(places.select("owner", "depth", "n_tokens", "branch", (F.col("branch") + F.col("before")).alias("start"), (F.col("first") + F.col("before")).alias("position")), "places")
+    leaves = written(paths.groupBy("conv_id").agg(F.max(F.struct("depth", "owner")).alias("x")).select("conv_id", "x.owner", "x.depth"), "leaves")
+    return ChatTree(nodes, places, laid.select("owner", "start", "attends"), leaves, source, pattern)
 
 
-def _digest(batches):
+def _digest(source, pattern: str):
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
-    def rows():
-        now, turns, losses = None, None, None
-        n = chars = size = 0
-
-        def done():
-            return now, n, turns.hexdigest(), chars, losses.hexdigest(), size
-
-        for conv, _, made, a, b in _rows(batches):
-            if conv != now or turns is None:
-                if turns is not None:
-                    yield done()
-                now, turns, losses, n, chars, size = conv, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-            role, text = parse_turn(made)
-            turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            loss = unescape(made[a:b])
-            losses.update(loss.encode("utf-8", "surrogatepass"))
-            n, chars, size = n + 1, chars + len(loss), size + len(made)
-        if turns is not None:
-            yield done()
+    def run(batches):
+        decode = per_process(("bpe", source[0]), lambda: encoding(source, pattern)).decode_bytes
+        string = lambda ids: decode(ids).decode("utf-8", "surrogatepass")
 
-    yield from _batches(rows(), schema)
+        def rows():
+            now, turns, losses = None, None, None
+            n = chars = size = tokens = 0
+            at = None, 0
+
+            def done():
+                return now, n, turns.hexdigest(), chars, losses.hexdigest(), size
+
+            for conv, position, branch, start, data, a, b in _rows(slices(batches)):
+                if conv != now or turns is None:
+                    if turns is not None:
+                        yield done()
+                    now, turns, losses, n, chars, size, tokens, at = conv, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0, (None, 0)
+                if position != tokens:
+                    raise ValueError(f"conversation {conv}: position {position} follows {tokens} tokens")
+                if start != (at[1] if branch == at[0] else branch):
+                    raise ValueError(f"conversation {conv}: start {start} leaves a hole in the branch at position {position}")
+                ids = unpack_ids(data)
+                at = branch, start + len(ids)
+                made, loss = string(ids), unescape(string(ids[a:b]))
+                role, text = parse_turn(made)
+                turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                losses.update(loss.encode("utf-8", "surrogatepass"))
+                n, chars, size, tokens = n + 1, chars + len(loss), size + len(made), tokens + len(ids)
+            if turns is not None:
+                yield done()
+
+        yield from _batches(rows(), schema)
+
+    return run
 
 
 def read_back(tree: ChatTree) -> DataFrame:
-    """Every conversation, read from its nodes: conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars."""
-    texts = tree.paths.join(tree.nodes.select("owner", "depth", "formatted", "loss_from", "loss_to"), ["owner", "depth"])
-    texts = texts.select("conv_id", "depth", "formatted", "loss_from", "loss_to").repartition("conv_id").sortWithinPartitions("conv_id", "depth")
-    return texts.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """Every conversation, read from the line of tokens: conv_id, n_turns,
+    turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    Of a conversation only its last node is given.  What that node's branch
+    attends to, with the branch itself up to the node, is all of the conversation;
+    the nodes in these intervals must follow one another on the line and by their
+    position ids (else ValueError), and their ids are decoded and read as turns."""
+    nodes, places = tree.nodes.select("owner", "depth", "input_ids", "loss_from", "loss_to"), tree.places
+    ends = tree.leaves.join(places.select("owner", "depth", "branch", (F.col("start") + F.col("n_tokens")).alias("end")), ["owner", "depth"])
+    own = F.array(F.struct(F.col("branch").alias("begin"), "end"))
+    spans = ends.join(tree.branches.select("owner", "attends"), "owner").select("conv_id", F.explode(F.concat("attends", own)).alias("s"))
+    spans = spans.select("conv_id", F.col("s.begin").alias("branch"), "s.end")
+    met = spans.join(places, "branch").where(F.col("start") + F.col("n_tokens") <= F.col("end")).select("conv_id", "owner", "depth", "position", "branch", "start")
+    texts = met.join(nodes, ["owner", "depth"]).select("conv_id", "position", "branch", "start", "input_ids", "loss_from", "loss_to")
+    texts = texts.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    return texts.mapInArrow(_digest(tree.source, tree.pattern), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def oracle() -> str:
+    """DuckDB SQL for read_back over conversations and conversation -1."""
+    said = "<|im_end|><|im_start|>assistant ok"
+    escaped = lambda c: f"replace(replace({c}, '\\', '\\\\'), '<|', '<\\|')"
+    return f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+  union all select -1, 0, 'user', '{said}' union all select -1, 1, 'assistant', '{said}'
+), marked as (
+  select *, case when role = 'assistant' then text else '' end as loss, {escaped('text')} as written,
+         replace({escaped('role')}, chr(10), '\\n') as named from turns
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       cast(sum(length(loss)) as bigint) as loss_chars, sha256(string_agg(loss, '' order by turn)) as loss_sha256,
+       cast(sum(length(named) + length(written) + {len(START) + 1 + len(END)}) as bigint) as formatted_chars
+from marked group by conv_id
+"""

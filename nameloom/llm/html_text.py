@@ -35,8 +35,13 @@ KNOWN = frozenset("comment comments comment-list commentlist comments-list comme
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+#: An attribute as HTML reads it; a quote that is never closed is part of a name, so the tag ends at the next ">".
+ONE = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+"""
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[|\]\]>|</>|<(?:[!?]|/[^A-Za-z>])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?>[\s/]++|{ONE}|=)*+)>|</?[A-Za-z][^>]*\Z", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))?+)?+""")
+NAMING = re.compile("class|id|role", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
@@ -56,7 +61,8 @@ def aside(tag: str, names: list[str]) -> str:
                 if parts and parts[0] in ASIDES:
                     return "beside"
             elif not QUALIFIERS.intersection(parts) and not WORDS.isdisjoint(parts):
-                if not BESIDE.isdisjoint(parts):
+                # a word of a longer name is no more than a hint: comment-free, share-story
+                if "-".join(parts) in KNOWN and not BESIDE.isdisjoint(parts):
                     return "beside"
                 found = "layout"
     return found
@@ -71,7 +77,8 @@ def aside_within(tag: str, names: list[tuple[str, str]]) -> str:
 class Page:
     """Blocks of text with the containers they stand in.
 
-    What is dropped by its tag is gone.  A container that would be dropped by its
+    What is dropped by its tag is gone; of a header inside an article its headings
+    stay, as they are the article's own.  A container that would be dropped by its
     name or role, or a form, stays if it holds an article or most of the page's
     unlinked text; if its name says that it stands beside the main text, only if
     it holds articles that are most of what the page has."""
@@ -135,6 +142,7 @@ class Page:
         self.parents = [-1]
         self.tags = ["body"]
         stack: list[tuple[str, int, int]] = []  # tag, container, wrap
+        heads = 0  # headers inside articles that are open
         inside = [False]  # of containers: in an article
         words: list[str] = []
         linked = 0
@@ -147,7 +155,7 @@ class Page:
             nonlocal words, linked
             if words:
                 text = SPACE.sub(" ", unescape("".join(words))).strip()
-                if text:
+                if text and (not heads or any(t in HEADINGS for t, *_ in stack)):
                     read.append((container, text, linked, wrap))
                 words, linked = [], 0
 
@@ -170,10 +178,11 @@ class Page:
                 if tag in INLINE:
                     continue
                 k = len(stack) - 1
-                while k >= 0 and stack[k][0] != tag:
+                while k >= 0 and stack[k][0] != tag and not (tag == "header" and stack[k][0] == "own header"):
                     k -= 1
                 block()
                 if k >= 0:
+                    heads -= sum(t == "own header" for t, *_ in stack[k:])
                     del stack[k:]
                     container, wrap = stack[-1][1:] if stack else (0, 0)
                 continue
@@ -189,7 +198,7 @@ class Page:
                     words.append(" ")
                 continue
             block()
-            if tag in VOID or m[4] and tag not in TEXT:
+            if tag in VOID or m[3].endswith("/") and tag not in TEXT:
                 continue
             # a block ends an open paragraph, a list item the one before it
             if stack and stack[-1][0] == "p":
@@ -204,13 +213,17 @@ class Page:
             if tag in ("html", "body"):
                 continue
             names, role = [], ""
-            if m[3]:
+            if m[3] and NAMING.search(m[3]):
                 for name, x, y, z in ATTRIBUTE.findall(m[3]):
-                    value = unescape(x or y or z)
-                    if name.lower() == "role":
+                    name, value = name.lower(), unescape(x or y or z)
+                    if name == "role":
                         role = value.strip().lower()
-                    else:
-                        names.append((name.lower(), value))
+                    elif name in ("class", "id"):
+                        names.append((name, value))
+            if tag == "header" and inside[container]:
+                heads += 1
+                stack.append(("own header", container, wrap))
+                continue
             kind = ""
             if self.wraps[wrap][1] != "hard":
                 whole = "main" if role == "main" else tag

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_process, written
+from .common import per_process, slices, written
 
 #: Marks whose shares are statistics of their own.
 MARKS = "!?.,:;|#%&*$@_-=/'\"()[]{}<>0123456789"
@@ -40,18 +40,9 @@ def statistics(text: str) -> list[float]:
     return out
 
 
-def _slices(batches, carry: list[str], rows: int = 256):
-    """The batches, in slices if texts are carried, so that the JVM is sent back few at a time."""
-    for b in batches:
-        if carry:
-            yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
-        else:
-            yield b
-
-
 def _measure(carry: list[str]):
     def run(batches):
-        for b in _slices(batches, carry):
+        for b in slices(batches, 256):
             rows = [statistics(t or "") for t in b.column(1).to_pylist()]
             columns = list(zip(*rows)) or [()] * len(NAMES)
             carried = [b.column(b.schema.get_field_index(c)) for c in carry]
@@ -85,22 +76,28 @@ def _matrix(batch, names):
     return np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names])
 
 
+#: Folds of the training rows for calibration.
+FOLDS = 4
+#: Sums that one task adds up.
+FAN_IN = 16
+
+
 def _normal(fourier):
-    """Per partition: the sums of phi phi' and phi y."""
+    """Per partition and fold: the sums of phi phi' and phi y."""
 
     def run(batches):
         import numpy as np
         from pyspark import TaskContext
 
-        total = 0
-        for b in batches:
-            if b.num_rows:
-                phi = fourier(_matrix(b, NAMES))
-                y = _matrix(b, ["y"])
-                total = total + np.hstack([phi.T @ phi, phi.T @ y])
-        if not np.isscalar(total):
-            task = TaskContext.get()
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId() if task else 0], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+        total = {}
+        for b in slices(batches, 4096):
+            phi, y, fold = fourier(_matrix(b, NAMES)), _matrix(b, ["y"]), b.column(b.schema.get_field_index("fold")).to_numpy()
+            for k in np.unique(fold).tolist():
+                own = phi[fold == k]
+                total[k] = total.get(k, 0) + np.hstack([own.T @ own, own.T @ y[fold == k]])
+        task = TaskContext.get()
+        for k, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId() if task else 0], pa.int64()), pa.array([k], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["part", "fold", "sums"])
 
     return run
 
@@ -109,7 +106,15 @@ def _add(key, t):
     import numpy as np
 
     total = sum(np.frombuffer(x.as_buffer()) for x in t.column("sums"))
-    return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "fold": pa.array([key[1].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _added(sums: DataFrame, parts: int) -> DataFrame:
+    """Sums of at most `parts` partitions, added up FAN_IN at a time until few are left."""
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        sums = sums.groupBy(F.floor(F.col("part") / FAN_IN).alias("part"), "fold").applyInArrow(_add, "part long, fold int, sums binary")
+    return sums
 
 
 def isotonic(points: list[tuple[float, float, float]]) -> tuple[list[float], list[float]]:
@@ -127,9 +132,7 @@ def _score(fourier, weights, knots, carry):
     def run(batches):
         import numpy as np
 
-        for b in _slices(batches, carry):
-            if not b.num_rows:
-                continue
+        for b in slices(batches, 256 if carry else 4096):
             if weights is None:
                 s = np.full(b.num_rows, 0.5)
             else:
@@ -148,7 +151,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 300, widt
 
     Learns only from labelled rows whose crc32(id as text) mod 3 is not 1; all of
     them, without a sample.  What is gathered is of fixed size: means, a square of
-    features + 1 added up in two levels, and a histogram of `bins`.
+    features + 1 for each of FOLDS folds, added up by a tree, and a histogram of
+    `bins`.  The calibration sees only scores of rows by weights that were fitted
+    without their fold.
 
     Null and empty texts have a score of their own statistics (zeros).  Rows with
     a null id are scored and neither train nor are held out.  Labels other than 0
@@ -170,15 +175,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 300, widt
     fourier, weights, knots = None, None, None
     if moments[0] is not None:
         fourier = Fourier([moments[f"m_{c}"] for c in NAMES], [moments[f"s_{c}"] or 1.0 for c in NAMES], features, width, seed)
-        sums = train.select(*NAMES, "y").mapInArrow(_normal(fourier), "part long, sums binary")
-        groups = max(1, int(measured.rdd.getNumPartitions() ** 0.5))
-        sums = sums.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInArrow(_add, "sums binary").collect()
-        if sums:
+        train = train.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")).select(*NAMES, "y", "fold")
+        sums = train.mapInArrow(_normal(fourier), "part long, fold int, sums binary")
+        parts = max(measured.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        by_fold = {}
+        for r in _added(sums, parts).collect():
+            by_fold[r["fold"]] = by_fold.get(r["fold"], 0) + np.frombuffer(r["sums"])
+        if by_fold:
             size = features + 1
-            total = sum(np.frombuffer(r["sums"]) for r in sums).reshape(size, size + 1)
-            gram = total[:, :size] + ridge * total[0, 0] / size * np.eye(size)
-            weights = np.linalg.solve(gram, total[:, size])
-            raw = train.select(*NAMES, "y").mapInArrow(_raw(fourier, weights), "raw double, y double")
+            total = sum(by_fold.values())
+
+            def solved(sums):
+                square = sums.reshape(size, size + 1)
+                return np.linalg.solve(square[:, :size] + ridge * max(square[0, 0], 1.0) / size * np.eye(size), square[:, size])
+
+            weights = solved(total)
+            # a row is calibrated by the weights of the folds that it isn't in
+            without = {k: solved(total - own) if len(by_fold) > 1 else weights for k, own in by_fold.items()}
+            raw = train.mapInArrow(_raw(fourier, without), "raw double, y double")
             bin_of = F.floor((F.col("raw") + 1) / 3 * bins)
             points = raw.groupBy(bin_of.alias("k")).agg(F.avg("raw").alias("x"), F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("k").collect()
             knots = isotonic([(p["x"], p["y"], p["n"]) for p in points])
@@ -186,13 +200,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = 300, widt
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", *carry)
 
 
-def _raw(fourier, weights):
+def _raw(fourier, without):
     def run(batches):
         import numpy as np
 
-        for b in batches:
-            if b.num_rows:
-                raw = np.clip(fourier(_matrix(b, NAMES)) @ weights, -1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(raw), b.column(b.schema.get_field_index("y"))], names=["raw", "y"])
+        for b in slices(batches, 4096):
+            phi, fold = fourier(_matrix(b, NAMES)), b.column(b.schema.get_field_index("fold")).to_numpy()
+            raw = np.zeros(len(phi))
+            for k in np.unique(fold).tolist():
+                raw[fold == k] = phi[fold == k] @ without[k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.clip(raw, -1, 2)), b.column(b.schema.get_field_index("y"))], names=["raw", "y"])
 
     return run

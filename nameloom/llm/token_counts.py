@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_process
+from .bpe import shipped
+from .common import per_process, slices
 
 SPACE = "▁"
 
@@ -29,11 +30,12 @@ class Unigram:
     """A unigram vocabulary read from a sentencepiece file; scores are kept as
     they stand, so any scored piece list serves."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, model: bytes | str, keep: int = 600_000):
         import ahocorasick
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        given = {"model_file": model} if isinstance(model, str) else {"model_proto": model}
+        model = sentencepiece.SentencePieceProcessor(**given)
         skip = (model.is_control, model.is_unknown, model.is_byte, model.is_unused)
         pieces = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not any(f(i) for f in skip)}
         if model.normalize("a  b") != f"{SPACE}a{SPACE}{SPACE}b":
@@ -120,9 +122,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     are; other columns are left out.  No shuffle: rows stay where they are read.
     """
 
+    source = shipped(path)
+
     def count(batches):
-        model = per_process(("unigram", path), lambda: Unigram(path))
-        for b in batches:
+        model = per_process(("unigram", source[0]), lambda: Unigram(source[2]))
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([model.count(t or "") for t in texts], pa.int64()), pa.array([len(t or "") for t in texts], pa.int64())],

@@ -56,7 +56,7 @@ def test_bpe_round_trip(spark):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    rows = bpe_round_trip(docs_of(spark, TEXTS), path, P.PATTERN, block_chars=2000, bucket_bytes=100).collect()
+    rows = bpe_round_trip(docs_of(spark, TEXTS), path, P.PATTERN, block_chars=2000, bucket_words=5).collect()
     assert len(rows) == len(TEXTS) + 2
     for r in rows:
         text = "no id" if r["doc_id"] is None else TEXTS[r["doc_id"]] or ""
@@ -80,55 +80,86 @@ def best_fit(counts, capacity):
     return len(gaps)
 
 
-def test_plan_is_best_fit_decreasing():
-    from nameloom.llm.packing import plan
+def test_a_sweep_is_best_fit_decreasing():
+    from nameloom.llm.packing import GAP, LEFT, OVER, PIECE, PLACED, SMALL, sweep
 
     rng = np.random.RandomState(0)
     for _ in range(60):
         capacity = int(rng.randint(5, 60))
-        counts = {int(x): int(rng.randint(1, 30)) for x in rng.randint(1, capacity + 1, rng.randint(1, 12))}
-        used = collections.defaultdict(list)
-        for length, rank, n, first, fit, at in plan(counts, capacity):
-            for k in range(n):
-                used[first + k // fit].append((at + k % fit * length, length))
-        assert sorted(x for v in used.values() for _, x in v) == sorted(x for x, n in counts.items() for _ in range(n))
-        for v in used.values():
-            end = 0
-            for at, length in sorted(v):
-                assert at == end
-                end += length
-            assert end <= capacity
-        assert len(used) == best_fit(counts, capacity)
+        gaps = [int(x) for x in rng.randint(1, capacity + 1, rng.randint(0, 20))]
+        pieces = [int(x) for x in rng.randint(1, capacity + 1, rng.randint(1, 40))]
+        rows = [(g, GAP, 1000 + k) for k, g in enumerate(gaps)] + [(n, PIECE, k) for k, n in enumerate(pieces)]
+        found = list(sweep(sorted(rows, key=lambda r: (-r[0], r[1], r[2])), capacity))
+        free, left = list(gaps), []
+        for n in sorted(pieces, reverse=True):
+            fit = [g for g in free if g >= n]
+            if fit:
+                free.remove(min(fit))
+                free.append(min(fit) - n)
+            else:
+                left.append(n)
+        assert sorted(r[2] for r in found if r[0] == LEFT) == sorted(left)
+        assert sorted(r[2] for r in found if r[0] in (OVER, SMALL)) == sorted(g for g in free if g)
+        assert sum(r[0] == PLACED for r in found) == len(pieces) - len(left)
 
 
-def test_packing(spark):
-    from tokenizers import Tokenizer
+def test_ranges_share_their_gaps():
+    from nameloom.llm.packing import crossed
 
-    from nameloom.llm.packing import best_fit_pack
+    # pieces of range 1 go to the smallest gaps above; those of range 3 first to range 2's
+    met = crossed({1: (2, 10), 3: (5, 4)}, {0: (4, 30), 2: (2, 9)})
+    assert met == [(1, 0, 2, 0, 3, 3), (3, 0, 4, 2, 1, 2), (3, 4, 1, 0, 2, 7)]
+    assert crossed({}, {0: (3, 5)}) == [] == crossed({0: (3, 5)}, {})
 
-    path = P.path("byte_bpe_50k.json")
-    k = Tokenizer.from_file(path)
-    k.encode_special_tokens = True
-    rows = best_fit_pack(docs_of(spark, TEXTS), path, P.PATTERN, capacity=64, rank_rows=2).collect()
-    ids = {i: k.encode(t or "", add_special_tokens=False).ids + [0] for i, t in [*enumerate(TEXTS), (None, "no id")]}
+
+def places_of(rows, ids, capacity):
     places = collections.defaultdict(list)
     for r in rows:
         piece = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
         assert zlib.crc32(np.array(piece, "<u4").tobytes()) == r["ids_crc32"] and len(piece) == r["length"]
-        assert r["length"] == 64 or r["piece"] == 0
+        assert r["length"] == capacity or r["piece"] == 0
         places[r["sequence_id"]].append((r["offset"], r["length"]))
-    assert sum(r["length"] for r in rows) == sum(map(len, ids.values())) + len(ids[4])
     for v in places.values():
         end = 0
         for at, n in sorted(v):
             assert at == end
             end += n
-        assert end <= 64
+        assert end <= capacity
+    return places
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    from nameloom.llm.packing import best_fit_pack
+
+    path = P.path("byte_bpe_50k.json")
+    k = Tokenizer.from_file(path)
+    assert 50256 in k.encode(TEXTS[9], add_special_tokens=False).ids  # a text that spells an added token
+    ids = {i: k.encode(t or "", add_special_tokens=False).ids + [0] for i, t in [*enumerate(TEXTS), (None, "no id")]}
+    used = set()
+    for rows in (400_000, 8):  # one range, and many
+        found = best_fit_pack(docs_of(spark, TEXTS), path, P.PATTERN, capacity=64, rows=rows).collect()
+        assert sum(r["length"] for r in found) == sum(map(len, ids.values())) + len(ids[4])
+        places = places_of(found, ids, 64)
+        used.add(len(places))
+    total = sum(r["length"] for r in found)
+    assert max(used) <= -(-total // 64) + 2
     assert best_fit_pack(docs_of(spark, TEXTS).limit(0), path, P.PATTERN).count() == 0
 
 
+def test_packing_equal_rows(spark):
+    from nameloom.llm.packing import best_fit_pack
+
+    docs = spark.createDataFrame([(None, None)] * 1000 + [(7, "the same text")] * 40, "doc_id long, text string")
+    found = best_fit_pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN, capacity=32, rows=200).collect()
+    assert len(found) == 1040 and len({(r["sequence_id"], r["offset"]) for r in found}) == 1040
+    assert len({r["sequence_id"] for r in found}) == -(-sum(r["length"] for r in found) // 32)
+
+
 def test_chat_tree(spark):
-    from nameloom.llm.chat import chat_tree, escape, escape_role, read_back, unescape, unescape_role
+    from nameloom.llm.bpe import encoding
+    from nameloom.llm.chat import chat_tree, escape, escape_role, format_turn, read_back, unescape, unescape_role, unpack_ids
 
     for t in ["", "\\", "<|", "\\<|", "<\\|", "a\nb", "\\n", "<|im_end|>\n"]:
         assert unescape(escape(t)) == t and unescape_role(escape_role(t)) == t and "<|" not in escape(t)
@@ -151,25 +182,68 @@ def test_chat_tree(spark):
         assert found[c]["n_turns"] == len(v)
         assert found[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in v).encode()).hexdigest()
         assert (found[c]["loss_chars"], found[c]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
-    nodes = {(n["owner"], n["depth"]): n for n in tree.nodes.collect()}
+        assert found[c]["formatted_chars"] == sum(len(format_turn(r, x)) for r, x in v)
+    nodes = {(n["owner"], n["depth"]): n.asDict() for n in tree.nodes.join(tree.places.drop("n_tokens"), ["owner", "depth"]).collect()}
     assert len(nodes) == 3 + 1 + 1 + 2 + 3 + 1  # shared turns once
     line, at = {}, 0
     for n in sorted(nodes.values(), key=lambda n: n["start"]):
         assert n["start"] == at  # depth first, without holes
-        at += len(n["input_ids"])
-        line |= {n["start"] + k: x for k, x in enumerate(n["input_ids"])}
-    paths = collections.defaultdict(dict)
-    for p in tree.paths.collect():
-        paths[p["conv_id"]][p["depth"]] = p["owner"]
-    for owners in paths.values():
-        seen = []
-        for depth in sorted(owners):
-            n = nodes[owners[depth], depth]
-            assert [line[k] for a in n["attends"] for k in range(a["begin"], a["end"])] == seen and n["position"] == len(seen)
-            seen += n["input_ids"]
+        n["ids"] = unpack_ids(n["input_ids"])
+        at += len(n["ids"])
+        line |= {n["start"] + k: x for k, x in enumerate(n["ids"])}
+    attends = {b["owner"]: b["attends"] for b in tree.branches.collect()}
+    want = chat_paths(convs)
+    for leaf in tree.leaves.collect():
+        n = nodes[leaf["owner"], leaf["depth"]]
+        spans = [(a["begin"], a["end"]) for a in attends[leaf["owner"]]] + [(n["branch"], n["start"] + len(n["ids"]))]
+        seen = [line[k] for a, b in spans for k in range(a, b)]
+        assert n["position"] == len(seen) - len(n["ids"])
+        assert encoding(tree.source, P.PATTERN).decode(seen) == want[leaf["conv_id"]]
     assert read_back(chat_tree(turns.limit(0), P.path("byte_bpe_50k.json"), P.PATTERN)).count() == 0
 
 
+def chat_paths(convs):
+    from nameloom.llm.chat import format_turn
+
+    return {c: "".join(format_turn(r, x) for r, x in v) for c, v in convs.items()}
+
+
+def test_chat_is_read_from_positions_and_intervals(spark):
+    from pyspark.sql import functions as F
+
+    from nameloom.llm.chat import ChatTree, chat_tree, read_back
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t} of {c % 2 if t < 2 else c}") for c in range(4) for t in range(4)]
+    tree = chat_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), P.path("byte_bpe_50k.json"), P.PATTERN)
+    right = sorted(read_back(tree).collect())
+    wrong = [
+        (tree.places.withColumn("position", F.col("position") + F.when(F.col("depth") == 1, 1).otherwise(0)), tree.branches),
+        (tree.places.withColumn("start", F.col("start") + F.when(F.col("depth") == 3, 5).otherwise(0)), tree.branches),
+        (tree.places, tree.branches.withColumn("attends", F.transform("attends", lambda a: F.struct(a["begin"].alias("begin"), (a["end"] - 1).alias("end"))))),
+    ]
+    for places, branches in wrong:
+        try:
+            found = sorted(read_back(ChatTree(tree.nodes, places, branches, tree.leaves, tree.source, P.PATTERN)).collect())
+        except Exception as e:
+            assert "position" in str(e)
+        else:
+            assert found != right
+
+
+def test_chat_long_texts_ties_and_repeated_rows(spark):
+    from nameloom.llm.chat import chat_tree, read_back
+
+    long = "word \\ <|x|> " * 20_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, t, "assistant", f"t{t % 3}") for t in range(3000)]
+    rows += [(3, 5, "assistant", "tie"), (3, 5, "assistant", "tie"), (3, 5, "user", "tie"), (3, None, "user", "first")] + [(4, 0, "user", "same")] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r["conv_id"]: r for r in read_back(chat_tree(df, P.path("byte_bpe_50k.json"), P.PATTERN)).collect()}
+    assert {c: r["n_turns"] for c, r in found.items()} == {1: 2, 2: 3000, 3: 4, 4: 2}
+    assert found[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest() and found[1]["loss_chars"] == len(long)
+    assert found[2]["loss_sha256"] == hashlib.sha256("".join(f"t{t % 3}" for t in range(3000)).encode()).hexdigest()
+    assert found[3]["loss_chars"] == 6 and found[4]["turns_sha256"] == hashlib.sha256(b"user\nsame\nuser\nsame\n").hexdigest()
+
+
 LONG = "The harbour was rebuilt after the storm and ships came back in spring. " * 6
 
 
