@@ -8,40 +8,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import convert as C
-from .functions.text import once, trimmed
-from .operators.fold import converted, fold, items_of
+from .functions.text import once, trimmed, valid_utf8
+from .operators.fold import READS, converted, fold, items_of, values_for
 from .operators.segments import LONGEST, guard
 from .operators.tagger import rule_spans
 
 Tagger = Callable[[DataFrame], DataFrame]
 
 
-def parse(names: DataFrame, name_col: str = "name", id_col: str = "name_id", tagger: Tagger | None = None, verdicts: DataFrame | None = None, evidence: bool = True, strict: bool = False) -> DataFrame:
+def parse(names: DataFrame, name_col: str = "name", id_col: str = "name_id", tagger: Tagger | None = None, verdicts: DataFrame | None = None, evidence: bool = True, strict: bool = False, columns: list[str] | None = None) -> DataFrame:
     """A record per row of names.
 
     Without a tagger, rules of our own find the spans as a Column expression, and
     no row is shuffled.  A tagger gives spans (name_id, ord, type, begin, end,
     confidence) as rows, which are grouped by name_id (then ids must be unique).
     verdicts: name_id with struct<value, confidence> columns content, adult,
-    numbering, pack_scope, special, anime, and availability.
+    numbering, pack_scope, special, anime, and availability.  columns: what to
+    return besides name_id; only what these are read from is converted.  A name may
+    be BINARY; bytes that are no UTF-8 are replaced as by valid_utf8().
 
     A null name gives an invalid record, or with strict fails the query.  Names
     over 16 KiB are degraded: only title and year are read; one with a NUL is
     invalid."""
-    name = F.col(name_col).cast("string")
+    if columns is not None:
+        unknown = sorted({*columns} - {*READS})
+        if unknown:
+            raise ValueError(f"no columns of a record: {', '.join(unknown)}")
+        asked = columns = ["name_id", *(c for c in columns if c != "name_id")]
+        columns = [*dict.fromkeys([*asked, "name", "title", "valid", "degraded"])]  # by which long names are read
+    name = valid_utf8(F.col(name_col))
     if strict:
         name = F.when(name.isNull(), F.raise_error(F.lit("a name is null"))).otherwise(name)
     rows = names.select(F.col(id_col).alias("name_id"), F.coalesce(trimmed(name), F.lit("")).alias("name"))
     if tagger is None:
         spans = rows.select("name_id", "name", _spans().alias("spans"))
-        ready = spans.select("name_id", "name", items_of("name", "spans").alias("items"))
+        ready = spans.select("name_id", "name", items_of("name", "spans", values_for(columns)).alias("items"))
     else:
         fit = rows.where(guard(F.col("name")) == "ok")
         spans = tagger(fit).drop("name").join(fit, "name_id")
-        ready = rows.join(converted(spans).drop("name"), "name_id", "left")
+        ready = rows.join(converted(spans, columns).drop("name"), "name_id", "left")
     if verdicts is not None:
         ready = ready.join(verdicts, "name_id", "left")
-    return degrade(fold(ready, evidence))
+    records = degrade(fold(ready, evidence, columns))
+    return records if columns is None else records.select(*asked)
 
 
 @once
@@ -53,7 +62,8 @@ def degrade(records: DataFrame) -> DataFrame:
     """Names too long to segment get their title and year from the whole name."""
     long = (F.octet_length("name") > LONGEST) & ~F.col("name").contains("\0")
     title = C.title(F.col("name"))
-    return records.withColumns({
+    read = {
         "title": F.when(long, F.when(title != "", title)).otherwise(F.col("title")), "year": F.when(long, C.year(F.col("name"))).otherwise(F.col("year")),
         "degraded": long, "valid": F.when(long, title != "").otherwise(F.col("valid")),
-    })
+    }
+    return records.withColumns({c: v for c, v in read.items() if c in records.columns})

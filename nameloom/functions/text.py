@@ -47,6 +47,12 @@ def without(c: Column, characters: str) -> Column:
     return F.translate(c, characters, "")
 
 
+def valid_utf8(c: Column) -> Column:
+    """A text or its bytes as a valid string: each malformed sequence becomes the
+    replacement character."""
+    return F.make_valid_utf8(c.cast("string"))
+
+
 def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 

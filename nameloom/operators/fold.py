@@ -7,6 +7,8 @@ depends on order: titles, resolutions, and seasons with episodes.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,19 +48,58 @@ def _codes(kind: Column, raw: Column) -> Column:
     return F.coalesce(found, NO_STRINGS())
 
 
-def convert_span(name: Column, s: Column) -> Column:
-    """A span (ord, type, begin, end, confidence) with its text and its values."""
-    return let(_text(name, s), lambda raw: let(_codes(s["type"], raw), lambda codes: _converted(name, s, raw, codes)))
-
-
-def _converted(name: Column, s: Column, raw: Column, codes: Column) -> Column:
+#: Types of the values of a converted span.
+VALUES = {
+    "title": "string", "date": "date", "year": "int", "lines": "int", "value_end": "int", "source": "string", "bare_uhd": "boolean",
+    "extras": "struct<lines:int,hdr10:boolean,dolby_vision:boolean>", "remux": "boolean", "light": "boolean", "hybrid": "boolean", "platform": "string",
+    "codec": "string", "depth": "string", "depth_medium": "string", "hdr": "string", "audio": "string", "languages": "array<string>", "multi": "boolean",
+    "bare_dub": "boolean", "named_dub": "boolean", "subtitle_format": "string", "several": "boolean", "subtitled": "boolean", "burned": "boolean", "group": "string",
+    "season": "struct<first:int,last:int,count:int,stated:boolean>", "marker": "struct<season:int,first:int,last:int,count:int,stated:boolean>",
+    "edition": "string", "editions": "array<string>", "proper": "boolean", "repack": "boolean", "ai_upscale": "boolean", "revision": "int", "real": "int",
+    "three_d": "boolean", "checksum": "boolean", "container": "string",
+}
+#: Which of them a column of a record is read from, besides those of its walk.
+TITLES, SIZES, NUMBERS = "title date year", "lines value_end extras", "season marker"
+READS = {
+    "valid": TITLES, "title": TITLES, "alternative_titles": TITLES, "episode_title": TITLES, "year": TITLES, "date": TITLES, "franchise_prefix": "title",
+    **dict.fromkeys("season season_end episode episode_end absolute_episode absolute_episode_end episode_count pack complete_range numbering pack_scope".split(), NUMBERS),
+    "screen_size": SIZES, "downscaled": SIZES, "source": "source bare_uhd", "streaming_service": "platform", "video_codec": "codec", "ten_bit": "depth",
+    **dict.fromkeys("hdr hdr10 hdr10_plus hlg dolby_vision".split(), "hdr extras"), **dict.fromkeys("audio_codec audio_channels audio_profile".split(), "audio"),
+    "edition": "editions", "editions": "editions", "proper": "proper", "repack": "repack", "revision_version": "proper repack revision", "revision_real": "real",
+    "remux": "remux", "light_encode": "light", "hybrid": "hybrid", "ai_upscale": "ai_upscale", "three_d": TITLES + " three_d checksum",
+    "languages": "languages", "subtitle_languages": "languages", "subtitle_format": "subtitle_format", "dual_audio": "multi", "multi_audio": "multi languages",
+    "english_dub": TITLES + " multi bare_dub named_dub", "multi_subs": "several", "hard_subs": "burned", "release_group": "group", "release_groups": "group",
+    "specials": "", "container": "container", "medium": "container depth_medium", "crc32": "checksum",
+    **dict.fromkeys("name_id name degraded content adult anime special availability".split(), ""),
+    **{f"{v}_confidence": "" for v in ("content", "adult", "numbering", "pack_scope", "special", "anime")}, "origins": " ".join(VALUES),
+}
+
+
+def values_for(columns: list[str] | None) -> frozenset[str]:
+    """The values of spans that these columns of a record are read from."""
+    return frozenset(VALUES if columns is None else " ".join(READS[c] for c in columns).split())
+
+
+def convert_span(name: Column, s: Column, values: frozenset[str] = frozenset(VALUES)) -> Column:
+    """A span (ord, type, begin, end, confidence) with its text and its values, null
+    where they aren't asked for."""
+    spoken = not values.isdisjoint({"languages", "multi", "bare_dub", "named_dub"})
+    codes = lambda raw: _codes(s["type"], raw) if spoken else NO_STRINGS()
+    return let(_text(name, s), lambda raw: let(codes(raw), lambda found: _pruned(_converted(name, s, raw, found), values)))
+
+
+def _pruned(made: dict[str, Column], values: frozenset[str]) -> Column:
+    return F.struct(*((c if k not in VALUES or k in values else NONE(VALUES[k])).alias(k) for k, c in made.items()))
+
+
+def _converted(name: Column, s: Column, raw: Column, codes: Column) -> dict[str, Column]:
     kind, begin, end = s["type"], s["begin"], s["end"]
     on = lambda types, value: F.when(kind.isin(*types.split()), value)
     plus = F.when(byte_slice(name, end, end + 1) == "+", F.lit("+")).otherwise(F.lit(""))
     medium = F.when(C.bit_depth(raw).isNotNull(), NONE("string")).when(C.states_sample_depth(raw), "music").when(C.states_bitness(raw), "software")
     trailing = group(raw, r"([ ._\-]*(?:to|->|>))$", 1)
     usable = C.release_group(raw)
-    return F.struct(
+    made = (
         s["ord"].cast("int").alias("ord"), kind.alias("type"), begin.cast("int").alias("begin"), end.cast("int").alias("end"), s["confidence"].cast("float").alias("confidence"), raw.alias("raw"),
         F.coalesce(F.when(kind.isin(TITLED), C.title(raw)), F.lit("")).alias("title"),
         on("year", C.air_date(raw)).alias("date"), on("year", C.year(raw)).alias("year"),
@@ -89,26 +130,27 @@ def _converted(name: Column, s: Column, raw: Column, codes: Column) -> Column:
         on("edition crc32", C.is_three_d(raw)).alias("three_d"), on("crc32", C.is_checksum(raw)).alias("checksum"),
         on("container file_extension", C.container(raw)).alias("container"),
     )
+    return dict(zip(["ord", "type", "begin", "end", "confidence", "raw", *VALUES], made, strict=True))
 
 
 @once
-def items_of(name: str, spans: str) -> Column:
+def items_of(name: str, spans: str, values: frozenset[str] = frozenset(VALUES)) -> Column:
     """The converted spans of a column of arrays of spans."""
-    return F.filter(F.transform(F.col(spans), lambda s: convert_span(F.col(name), s.cast(SPAN))), lambda x: x["raw"] != "")
+    return F.filter(F.transform(F.col(spans), lambda s: convert_span(F.col(name), s.cast(SPAN), values)), lambda x: x["raw"] != "")
 
 
 @once
-def _row_columns() -> tuple[Column, Column, Column]:
+def _row_columns(values: frozenset[str]) -> tuple[Column, Column, Column]:
     name, s = F.col("name"), F.col("s")
-    return _text(name, s).alias("raw"), _codes(F.col("s.type"), F.col("raw")).alias("codes"), _converted(name, s, F.col("raw"), F.col("codes")).alias("x")
+    return _text(name, s).alias("raw"), _codes(F.col("s.type"), F.col("raw")).alias("codes"), _pruned(_converted(name, s, F.col("raw"), F.col("codes")), values).alias("x")
 
 
-def converted(spans: DataFrame) -> DataFrame:
+def converted(spans: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """name_id, name, ord, type, begin, end, confidence (a row per span, any other
     columns left out) to a row per name with its array of converted spans."""
     rows = spans.select("name_id", "name", F.struct("ord", "type", "begin", "end", "confidence").alias("s"))
     # a column for what the values share, so that it is read once
-    raw, codes, x = _row_columns()
+    raw, codes, x = _row_columns(values_for(columns))
     rows = rows.withColumn("raw", raw).where("raw <> ''").withColumn("codes", codes).select("name_id", "name", x)
     return rows.groupBy("name_id").agg(F.first("name").alias("name"), F.array_sort(F.collect_list("x")).alias("items"))
 
@@ -295,20 +337,22 @@ MARK = r"s(\d{1,2})[ ._-]?e(\d{1,4})|(\d{1,2})x(\d{2,3})"
 MARKER_RANGE = rf"(?s)^(.*?(?:^|[^A-Za-z0-9]))((?:{MARK})[ ._]*(?:[-~]|to|thru|bis)[ ._]*(?:{MARK}))(?:[^A-Za-z0-9]|$)"
 
 
-def fold(df: DataFrame, evidence: bool = True) -> DataFrame:
+def fold(df: DataFrame, evidence: bool = True, columns: list[str] | None = None) -> DataFrame:
     """name_id, name, items (and the verdicts content, adult, numbering, pack_scope,
     special, anime as struct<value, confidence>, availability, where given) to records.
 
     Unknown values are null, 0 is a value, lists are empty rather than null.  A
     null `items` (a name that couldn't be encoded) gives an invalid record.
-    evidence=False leaves the origins out, and all work that only they need.
+    evidence=False leaves the origins out, and all work that only they need;
+    columns, if given, are all that a record has, and only what they need is done.
     """
     verdicts = ["content", "adult", "numbering", "pack_scope", "special", "anime"]
     nothing = "struct<value:string,confidence:float>"
     given = {v: (F.col(v).cast(nothing) if v in df.columns else NONE(nothing)) for v in verdicts}
     df = df.select("name_id", "name", F.coalesce("items", F.array().cast(df.schema["items"].dataType)).alias("items"), *(c.alias(f"v_{v}") for v, c in given.items()), (F.col("availability").cast("float") if "availability" in df.columns else NONE("float")).alias("availability"))
     df = df.withColumns(_walks()).withColumns(_facts())
-    return _rules(df.withColumn("noted", _noted() if evidence else F.array().cast(f"array<{ORIGIN}>")))
+    evidence = evidence and (columns is None or "origins" in columns)
+    return _rules(df.withColumn("noted", _noted() if evidence else F.array().cast(f"array<{ORIGIN}>")), columns)
 
 
 @once
@@ -382,10 +426,11 @@ def _by_place(a: Column, b: Column) -> Column:
     return F.when(a["ord"] != b["ord"], a["ord"] - b["ord"]).otherwise(a["sub"] - b["sub"])
 
 
-def _rules(df: DataFrame) -> DataFrame:
+def _rules(df: DataFrame, columns: list[str] | None) -> DataFrame:
     *stages, shown = _rule_stages()
     for stage in stages:
         df = df.withColumns(stage)
+    shown = [c for name, c in shown.items() if columns is None or name in columns]
     # A generator of one row: conditions on the record are evaluated on its
     # columns, and never rewritten into copies of the expressions above.
     return df.select(F.inline(F.array(F.struct(*shown))))
@@ -489,4 +534,8 @@ def _rule_stages() -> list:
             said("numbering_kind", F.col("numbering"), "numbering"), said("pack_scope", F.col("pack_scope"), "pack_scope"), said("special_kind", verdict("special")["value"], "special"),
         ).alias("origins"),
     )
-    return [*stages, shown]
+    return [*stages, {_alias(c): F.col(c) if isinstance(c, str) else c for c in shown}]
+
+
+def _alias(c) -> str:
+    return c if isinstance(c, str) else re.search(r" AS (\w+)'>$", str(c))[1]

@@ -16,7 +16,7 @@ from ..engine import degrade, parse
 from ..functions import convert as C
 from ..functions import text as T
 from ..operators import result, segments
-from ..operators.fold import SPAN, fold, items_of
+from ..operators.fold import SPAN, fold, items_of, values_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -268,9 +268,9 @@ def argmax_verdicts(spark, sf_dir):
 
 # --- folds over spelled spans
 
-def spelled(df: DataFrame, *tokens: tuple[str | None, Column], glue: str = ".") -> DataFrame:
+def spelled(df: DataFrame, *tokens: tuple[str | None, Column], glue: str = ".", columns: list[str] | None = None) -> DataFrame:
     """name_id, name, items: tokens (null ones left out) joined by glue; those
-    with a type are spans."""
+    with a type are spans.  columns: of the record, for which they are converted."""
     pieces = F.filter(F.array(*(F.struct(F.lit(kind).cast("string").alias("type"), token.cast("string").alias("token")) for kind, token in tokens)), lambda p: p["token"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
@@ -282,7 +282,7 @@ def spelled(df: DataFrame, *tokens: tuple[str | None, Column], glue: str = ".")
     # a fold is work, not reading: one file shouldn't mean one task
     df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     rows = df.select("*", pieces.alias("_pieces")).select("*", F.array_join(F.transform("_pieces", lambda p: p["token"]), glue).alias("name"), F.aggregate("_pieces", start, place, lambda s: s["spans"]).alias("_spans"))
-    return rows.select("*", F.col("k").alias("name_id"), items_of("name", "_spans").alias("items")).drop("_pieces", "_spans", "k")
+    return rows.select("*", F.col("k").alias("name_id"), items_of("name", "_spans", values_for(columns)).alias("items")).drop("_pieces", "_spans", "k")
 
 
 def folded(name: str, sql: str, tokens, *columns: str | tuple[str, Callable], verdicts: dict | None = None, evidence: bool = False) -> None:
@@ -292,7 +292,8 @@ def folded(name: str, sql: str, tokens, *columns: str | tuple[str, Callable], ve
         rows = parts(spark, sf_dir)
         for head, value in (verdicts or {}).items():
             rows = rows.withColumn(head, F.when(value(F.col("k")).isNotNull(), F.struct(value(F.col("k")).alias("value"), F.lit(0.75).cast("float").alias("confidence"))))
-        records = fold(spelled(rows, *tokens(F.col("k"))), evidence)
+        asked = ["name_id", *columns] if all(isinstance(c, str) for c in columns) else None
+        records = fold(spelled(rows, *tokens(F.col("k")), columns=asked), evidence, asked)
         return records.select(F.col("name_id").alias("k"), *(_shown(records, c) if isinstance(c, str) else c[1](records).alias(c[0]) for c in columns))
 
     query(name, sql)(run)
@@ -386,20 +387,10 @@ folded("absolute_move", "select p_partkey as k, case when p_partkey % 2 = 0 then
 folded("edition_order", "select p_partkey as k, case when p_partkey % 2 = 0 then 'Criterion' else 'Unrated' end as edition from part", lambda k: [("MAIN", lit("Movie")), ("edition", lit("Limited")), ("edition", lit("Unrated")), ("edition", when(k % 2 == 0, "Criterion"))], "edition")
 
 
-@query("degraded_fallback", "select p_partkey as k, p_partkey % 2 = 0 as degraded, case when p_partkey % 2 = 0 then 1990 + p_partkey % 30 end as year, true as valid from part where p_partkey <= 60")
+@query("degraded_fallback", "select p_partkey as k, p_partkey % 2 = 0 as degraded, case when p_partkey % 2 = 0 then 1990 + p_partkey % 30 end as year, true as valid from part")
 def degraded_fallback(spark, sf_dir):
-    return _degraded(parts(spark, sf_dir).where("k <= 60"))
-
-
-@query("degraded_fallback_all", "select p_partkey as k, p_partkey % 2 = 0 as degraded, case when p_partkey % 2 = 0 then 1990 + p_partkey % 30 end as year, true as valid from part")
-def degraded_fallback_all(spark, sf_dir):
-    """As degraded_fallback, whose SQL asks for 60 keys, over every part."""
-    return _degraded(parts(spark, sf_dir))
-
-
-def _degraded(rows: DataFrame) -> DataFrame:
     k = F.col("k")
-    rows = rows.select("k", when(k % 2 == 0, cat(F.repeat(lit("a"), 16400), lit("."), 1990 + k % 30)).otherwise(lit("Show")).alias("text"))
+    rows = parts(spark, sf_dir).select("k", when(k % 2 == 0, cat(F.repeat(lit("a"), 16400), lit("."), 1990 + k % 30)).otherwise(lit("Show")).alias("text"))
     tokens = spelled(rows, ("MAIN", when(k % 2 == 1, F.col("text"))), (None, when(k % 2 == 0, F.col("text"))))
     return degrade(fold(tokens, False)).select(F.col("name_id").alias("k"), "degraded", F.col("year").cast("long").alias("year"), "valid")
 
@@ -465,29 +456,54 @@ def origins_long(spark, sf_dir):
     return result.origins_long(stocked(spark, sf_dir)).select(F.col("name_id").alias("k"), F.col("pos").cast("long"), "field", "value")
 
 
-@query("confidence_min", "select p_partkey as k, 'title' as field, 0.9 as confidence from part union all select p_partkey, 'quality', 0.9 from part")
-def confidence_min(spark, sf_dir):
-    found = result.confidence_by_field(stocked(spark, sf_dir)).where("field in ('title', 'quality')")
-    return found.select(F.col("name_id").alias("k"), "field", F.round(F.col("confidence").cast("double"), 3).alias("confidence"))
-
-
-@query("confidence_min_all", """
+@query("confidence_min", """
 select p_partkey as k, 'title' as field, 0.9 as confidence from part union all select p_partkey, 'quality', 0.9 from part
   union all select p_partkey, 'year', 0.9 from part where p_partkey % 2 = 0 union all select p_partkey, 'season', 0.9 from part where p_partkey % 3 <> 0
   union all select p_partkey, 'episode', 0.9 from part where p_partkey % 3 = 1 union all select p_partkey, 'edition', 0.9 from part where p_partkey % 5 < 2
   union all select p_partkey, 'bit_depth', 0.9 from part where p_partkey % 7 = 0 union all select p_partkey, 'hdr', 0.9 from part where p_partkey % 7 = 1
   union all select p_partkey, 'crc32', 0.9 from part where p_partkey % 11 = 0""")
-def confidence_min_all(spark, sf_dir):
-    """As confidence_min, whose SQL asks for two fields, of every field."""
+def confidence_min(spark, sf_dir):
     found = result.confidence_by_field(stocked(spark, sf_dir))
     return found.select(F.col("name_id").alias("k"), "field", F.round(F.col("confidence").cast("double"), 3).alias("confidence"))
 
 
-@query("to_dict_json")
+@query("to_dict_json", """
+select p_partkey as name_id, '{' || concat_ws(', ', '"title": "Show ' || p_partkey % 40 || '"', case when p_partkey % 2 = 0 then '"year": ' || (1990 + p_partkey % 30) end,
+  case when p_partkey % 3 <> 0 then '"season": ' || p_partkey % 4 end, case when p_partkey % 3 = 1 then '"episode": ' || p_partkey % 5 end, '"screen_size": "720p"', '"frame_size": [1280, 720]',
+  case when p_partkey % 7 = 0 then '"color_depth": "10-bit"' end, case when p_partkey % 7 = 1 then '"hdr": "HDR10"' end,
+  case when p_partkey % 5 < 2 and p_partkey % 7 = 1 then '"other": ["' || case p_partkey % 5 when 0 then 'Proper' else 'Repack' end || '", "HDR10"]'
+       when p_partkey % 5 < 2 then '"other": "' || case p_partkey % 5 when 0 then 'Proper' else 'Repack' end || '"' when p_partkey % 7 = 1 then '"other": "HDR10"' end,
+  case p_partkey % 5 when 0 then '"version": 2' when 1 then '"version": 4' end, case when p_partkey % 11 = 0 then '"crc32": "ABCD1234"' end,
+  '"content": "unknown"', '"adult": false', '"anime": false',
+  '"confidence": {' || concat_ws(', ', '"title": 0.9', case when p_partkey % 2 = 0 then '"year": 0.9' end, case when p_partkey % 3 <> 0 then '"season": 0.9' end, case when p_partkey % 3 = 1 then '"episode": 0.9' end,
+    '"screen_size": 0.9', case when p_partkey % 7 = 1 then '"hdr": 0.9' end, case when p_partkey % 11 = 0 then '"crc32": 0.9' end, '"content": 0.0', '"adult": 0.0', '"anime": 0.0') || '}') || '}' as dict
+from part""")
 def to_dict_json(spark, sf_dir):
     return result.to_dict(stocked(spark, sf_dir))
 
 
+@query("to_dict_verdicts", """
+select p_partkey as name_id, '{' || concat_ws(', ', '"title": "Show"', '"alternative_title": ' || case when p_partkey % 2 = 0 then '"Other"' else '["Other", "Third"]' end,
+  '"season": ' || case when p_partkey % 3 = 0 then '[1, 2, 3]' else '2' end, '"audio_codec": "DDP"', '"audio_channels": "5.1"', '"release_group": "GRP"', '"container": "mkv"', '"website": "site.org"',
+  '"type": "episode"', '"content": "series"', '"medium": "video"', '"adult": ' || case when p_partkey % 5 = 0 then 'true' else 'false' end, '"anime": false',
+  '"pack_scope": "season"', case when p_partkey % 7 = 0 then '"special": "ova"' end,
+  '"confidence": {' || concat_ws(', ', '"title": 0.9', '"alternative_title": 0.9', '"season": 0.9', '"audio_codec": 0.9', '"audio_channels": 0.9', '"release_group": 0.9', '"container": 0.9', '"website": 0.9',
+    '"type": 0.8', '"content": 0.8', '"medium": 0.8', '"adult": 0.8', '"anime": 0.0', '"pack_scope": 0.8', case when p_partkey % 7 = 0 then '"special": 0.8' end) || '}') || '}' as dict
+from part""")
+def to_dict_verdicts(spark, sf_dir):
+    k = F.col("k")
+    said = {"content": lit("series"), "adult": when(k % 5 == 0, "yes").otherwise("no"), "pack_scope": lit("season"), "special": when(k % 7 == 0, "ova").otherwise("none")}
+    rows = parts(spark, sf_dir).select("k", *(F.struct(v.alias("value"), F.lit(0.8).cast("float").alias("confidence")).alias(c) for c, v in said.items()))
+    tokens = spelled(rows, ("MAIN", lit("Show")), ("ALT", lit("Other")), ("ALT", when(k % 2 == 1, "Third")), ("season_marker", when(k % 3 == 0, "S01-S03").otherwise("S02")), ("audio_codec", lit("DDP")),
+                     ("audio_channels", lit("5.1")), ("release_group", lit("GRP")), ("file_extension", lit("mkv")), ("site_banner", lit("site.org")))
+    return result.to_dict(fold(tokens))
+
+
+@query("screen_size_text", "select p_partkey as k, '1280x720' as text from part")
+def screen_size_text(spark, sf_dir):
+    return stocked(spark, sf_dir).select(F.col("name_id").alias("k"), result.screen_size_text(F.col("origins")).alias("text"))
+
+
 @query("dict_facts", "select p_partkey as k, 'Show ' || p_partkey % 40 as title, case when p_partkey % 2 = 0 then 1990 + p_partkey % 30 end as year, '720p' as screen_size from part")
 def dict_facts(spark, sf_dir):
     d = F.from_json("dict", "title string, year long, screen_size string")
@@ -542,15 +558,16 @@ select k as name_id, case k % 4 when 0 then 'Night' when 1 then 'River' when 2 t
   case k % 3 when 0 then '720p' when 1 then '1080p' else '2160p' end as screen_size, case k % 5 when 0 then 'BluRay' when 1 then 'WEB-DL' when 2 then 'HDTV' when 3 then 'DVD' else 'WEBRip' end as source,
   case k % 3 when 0 then 'H264' when 1 then 'HEVC' else 'AV1' end as video_codec, 'GRP' || k % 7 as release_group from {_KEYED}""")
 def parse_records(spark, sf_dir):
-    records = parse(_lines_names(spark, sf_dir), evidence=False)
-    return records.select("name_id", "title", *(F.col(c).cast("long").alias(c) for c in ("year", "season", "episode")), "screen_size", "source", "video_codec", "release_group")
+    numbers, texts = ["year", "season", "episode"], ["screen_size", "source", "video_codec", "release_group"]
+    records = parse(_lines_names(spark, sf_dir), columns=["title", *numbers, *texts])
+    return records.select("name_id", "title", *(F.col(c).cast("long").alias(c) for c in numbers), *texts)
 
 
 @query("flagship", f"""
 select case k % 3 when 0 then '720p' when 1 then '1080p' else '2160p' end as screen_size, case k % 5 when 0 then 'BluRay' when 1 then 'WEB-DL' when 2 then 'HDTV' when 3 then 'DVD' else 'WEBRip' end as source,
   case k % 3 when 0 then 'H264' when 1 then 'HEVC' else 'AV1' end as video_codec, count(*) as n from {_KEYED} group by all""")
 def flagship(spark, sf_dir):
-    records = parse(_lines_names(spark, sf_dir), evidence=False)
+    records = parse(_lines_names(spark, sf_dir), columns=["screen_size", "source", "video_codec"])
     return records.groupBy("screen_size", "source", "video_codec").agg(F.count("*").alias("n"))
 
 

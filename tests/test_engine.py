@@ -81,8 +81,42 @@ def test_masks_and_dict(spark):
     assert masks[0] == (1, 129) and masks[1] == (10, 1) and masks[9][1] == 1 + (1 << 15) and masks[4] == (0, 0)
     dicts = {r["name_id"]: json.loads(r["dict"]) for r in result.to_dict(rows, evidence=True).collect()}
     assert dicts[2]["episode"] == [1, 2, 3] and dicts[2]["season"] == 1 and dicts[0]["color_depth"] == "10-bit" and dicts[0]["other"] == "Dolby Vision"
-    assert dicts[4] == {"confidence": {}, "origins": []} and "hdr" not in dicts[1] and dicts[11]["version"] == 2
-    assert dicts[0]["origins"][0] | {"confidence": 0} == {"field": "title", "value": "Movie Name", "text": "Movie.Name", "begin": 0, "end": 10, "confidence": 0, "unconverted": False}
+    unknown = {"content": "unknown", "adult": False, "anime": False}
+    assert dicts[4] == unknown | {"confidence": {"content": 0.0, "adult": 0.0, "anime": 0.0}, "origins": []} and "hdr" not in dicts[1] and dicts[11]["version"] == 2
+    assert dicts[0]["origins"][0] | {"confidence": 0} == {"field": "title", "value": "Movie Name", "text": "Movie.Name", "begin": 0, "end": 10, "confidence": 0}
+    flags = {"frame_size", "color_depth", "other", "version", "real", "degraded", "availability", "confidence", "origins"}
+    for d in dicts.values():  # one number per emitted key
+        assert set(d["confidence"]) == set(d) - flags
+        assert all(0 <= x <= 1 for x in d["confidence"].values())
+
+
+def test_dict_keys_share_evidence_and_verdicts(spark):
+    heads = spark.createDataFrame([(1, ("movie", 0.7))], "name_id long, content struct<value string, confidence float>")
+    rows = parse(spark.createDataFrame([(1, "Movie.2024.1080p.DDP5.1.10bit.complete.mkv")], "name_id long, name string"), verdicts=heads)
+    d = json.loads(result.to_dict(rows).first()["dict"])
+    sure = d["confidence"]
+    assert sure["audio_codec"] == sure["audio_channels"] and sure["content"] == sure["medium"] == sure["type"] == 0.7 and sure["adult"] == 0.0
+    assert "ten_bit" not in sure and "pack" not in sure and d["type"] == "movie" and d["color_depth"] == "10-bit"
+
+
+def test_only_asked_columns(spark):
+    names = names_from_list(spark, NAMES)
+    whole = {r["name_id"]: r for r in parse(names).collect()}
+    for columns in (["season", "episode", "source"], ["title", "year"], ["english_dub", "multi_audio", "medium"], ["release_group", "origins"]):
+        some = parse(names, columns=columns)
+        assert some.columns == ["name_id", *columns]
+        for r in some.collect():
+            assert all(r[c] == whole[r["name_id"]][c] for c in columns)
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert 3 * size(parse(names, columns=["source"])) < size(parse(names, evidence=False))
+    with pytest.raises(ValueError, match="sauce"):
+        parse(names, columns=["sauce"])
+
+
+def test_malformed_bytes(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"Movie.2024.\xff\xfe1080p")), (2, bytearray(b"\xc3\x28")), (3, bytearray("Süß.2020".encode()))], "name_id long, name binary")
+    found = {r["name_id"]: r for r in parse(rows).collect()}
+    assert (found[1]["title"], found[1]["year"]) == ("Movie", 2024) and found[2]["name"] == "\ufffd(" and found[3]["title"] == "Süß"
 
 
 def test_sources_and_sinks(spark, tmp_path):
