@@ -6,6 +6,8 @@ where last is 0 if the marker is no range.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ OPEN, CLOSE = r"(?:^|[ ._\-/\[(,+~&;])", r"(?:$|[ ._\-/\]),+~&;])"
 
 # --- resolution
 
-#: Heights and widths that stand for a resolution without a unit.
+# Heights and widths that stand for a resolution without a unit, and spellings of sizes.
 BARE = [240, 288, 360, 400, 432, 480, 540, 576, 720, 900, 1080, 1440, 2160, 4320, 2560, 3840, 4096, 7680]
 DIMENSIONS = r"(?<!\d)(\d{3,4})\s*[xX*]\s*(\d{3,4})(?!\d)"
 SCANNED = r"(?<!\d)(\d{3,4})[pi](?:\d{2,3})?\b"
@@ -70,6 +72,7 @@ def resolution(token: Column) -> Column:
 
 # --- source
 
+# Names of discs and of bare UHD.
 DISCS = "AVCHD BD100 BD25 BD5 BD50 BD66 BD9 BDBOX BDISO BDMUX BLURAYRIP BR BRMUX DEBD DS4K FRBD ITBD JPBD UHD UHD2BD UHDBD UKBD USBD".split()
 UHD_WORDS = ["UHD", "4K", "UHDRDV", "UHDR", "ULTRAHD"]
 
@@ -148,6 +151,7 @@ def video_codec(token: Column) -> Column:
     )
 
 
+# Spellings of HDR formats, strongest first.
 HDR_SPELLINGS = [
     (r"\b(DV|DoVi|D\.V|Dolby[ ._-]?Vision)(?:[ ._-]?P[578])?\b", "DV"),
     (r"\b(HDR10\s*(?:\+|Plus|P\b))(?!\d)", "HDR10+"),
@@ -172,6 +176,7 @@ def hdr_rank(format: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, vocab.HDR_ORDER)), format) - 1, F.lit(0)).cast("int")
 
 
+# Spellings of bit depths, in order.
 DEPTH_SPELLINGS = [
     (r"\b(10[ ._-]?bits?)\b", "10bit"),
     (r"\b(10b)\b", "10bit"),
@@ -210,6 +215,7 @@ def edition_labels(ids: Column) -> Column:
 
 # --- audio
 
+# Fixed value: a layout of channels at the end of a codec.
 LAYOUT = r"[ ._-]?(?:2[ ._]?0|5[ ._]?1|7[ ._]?1|6[ ._]?CH|\d[ ._]?\dch|ch)\s*$"
 
 
@@ -245,18 +251,21 @@ def _audio_of_key(v: Column) -> Column:
     )
 
 
-def audio_codec(token: Column, digits: int = 4) -> Column:
-    """Of a key no codec knows, digits at the end go one by one (up to `digits`)."""
+def audio_codec(token: Column) -> Column:
+    """Of a key no codec knows, digits at the end go one by one."""
 
     def shorter(v):
         return _audio_key(F.when((F.length(v) > 2) & v.rlike("[0-9]$"), v.substr(F.lit(1), F.length(v) - 1)).otherwise(F.lit("")))
 
-    def read(v, left):
+    def read(v):
+        # a step takes a character at least, so the key's length bounds the loop
+        steps = F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1)))
         known = _audio_of_key(v)
-        return F.when(known.isNotNull() | F.lit(left == 0) | (v == ""), known).otherwise(let(shorter(v), lambda w: read(w, left - 1))) if left else known
+        return F.when(known.isNotNull() | ~v.rlike("[0-9]$"), known).otherwise(
+            _audio_of_key(F.aggregate(steps, v, lambda at, _: F.when(_audio_of_key(at).isNotNull() | (at == ""), at).otherwise(shorter(at)))))
 
     atmos = ascii_upper(token).contains("ATMOS")
-    return F.coalesce(let(_audio_key(token), lambda v: read(v, digits)), F.when(atmos, F.lit("Atmos")))
+    return F.coalesce(let(_audio_key(token), read), F.when(atmos, F.lit("Atmos")))
 
 
 def audio_channels(token: Column) -> Column:
@@ -267,6 +276,7 @@ def audio_channels(token: Column) -> Column:
 
 # --- numbers
 
+# Numbers as words.
 ORDINALS = "FIRST SECOND THIRD FOURTH FIFTH SIXTH SEVENTH EIGHTH NINTH TENTH".split()
 ROMANS = "I II III IV V VI VII VIII IX".split()
 
@@ -302,6 +312,7 @@ def marker_numbers(token: Column) -> Column:
     return F.when(~upper.rlike("[0-9]"), F.when(worded.isNotNull(), wordy).otherwise(let(digits, lambda d: F.when(F.size(d) > 0, fold(d)).otherwise(none)))).otherwise(let(digits, lambda d: F.when(F.size(d) > 0, fold(d)).otherwise(none)))
 
 
+# Spellings of markers.
 CROSS = r"^(?:ep(?:isode)?[ ._-]?)?(\d{1,2})[ ._-]?[x×][ ._-]?(\d{1,4})(?:[ ._]?[-–][ ._]?(?:(\d{1,2})[x×])?(\d{1,4}))?$"
 LETTERED = r"^[st](\d{1,2})[ ._-]?x?[ ._-]?e(\d{1,4})$"
 POSITION = r"^(\d{1,4})[ ._-]?of[ ._-]?(\d{1,4})$"
@@ -376,6 +387,7 @@ def medium_of_content(content: Column) -> Column:
 
 # --- languages and subtitles
 
+# What may stand around a language, and what decorates it.
 EDGE = r"[ ._\-/\[(,+~&;|]", r"[ ._\-/\]),+~&;|]"
 DECORATION = r"(?:^\d+[ ._-]?x[ ._-]?)|(?:[ ._-]?x\d+$)|SOFT|HARD|FORCED|FULL|INC|MTL|SUBBED|SUBTITLES?|SUBS?|TITULKY|TIT|NAPISY|LEGENDA(?:DO|S)?|DUB(?:BED)?|AUDIO|SRT|ASS|SSA|SUP|PGS|IDX|VOB"
 
@@ -385,8 +397,24 @@ def _codes(token: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*rows)))
 
 
+def _plain_languages() -> dict[str, list[str]]:
+    """Codes of the words of ASCII letters that the table spells out, in capitals:
+    no edge lies inside such a word, so only a pattern that matches all of it does."""
+    words = {w for p, _ in vocab.LANGUAGES for w in p.split("|") if re.fullmatch("[A-Z]{2,}", w)}
+    rows = [(re.compile(_python_pattern(p), re.I), code) for p, code in vocab.LANGUAGES]
+    return {w: list(dict.fromkeys(code for p, code in rows if p.fullmatch(w))) for w in sorted(words)}
+
+
+def _python_pattern(pattern: str) -> str:
+    return re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern)
+
+
+PLAIN_LANGUAGES = _plain_languages()
+
+
 def languages(token: Column) -> Column:
     """ISO 639-3 codes: of the token, else of the token without decoration, else of its parts."""
+    plain = F.create_map(*(c for word, codes in PLAIN_LANGUAGES.items() for c in (F.lit(word), F.array(*map(F.lit, codes)))))
     bare = trimmed(erase(token, DECORATION))
     split = F.filter(F.split(token, r"[ ._\-+|&/,()\[\]]"), lambda x: x != "")
     humps = F.flatten(F.transform(split, lambda p: let(F.split(p, "(?<=[a-z])(?=[A-Z])"), lambda h: F.when(F.size(h) > 1, h).otherwise(F.array().cast("array<string>")))))
@@ -395,8 +423,12 @@ def languages(token: Column) -> Column:
     ofparts = F.array_distinct(F.flatten(F.transform(parts, lambda p: F.when(p == "", F.array().cast("array<string>")).otherwise(_codes(p)))))
     first = _codes(token)
     second = F.when((bare != "") & (bare != token), _codes(bare)).otherwise(F.array().cast("array<string>"))
-    return let(first, lambda a: F.when(F.size(a) > 0, a).otherwise(let(second, lambda b: F.when(F.size(b) > 0, b).otherwise(ofparts))))
+    searched = let(first, lambda a: F.when(F.size(a) > 0, a).otherwise(let(second, lambda b: F.when(F.size(b) > 0, b).otherwise(ofparts))))
+    # a word that the table spells out needs no search
+    return F.coalesce(F.try_element_at(plain, ascii_upper(token)), searched)
+
 
+# The patterns of subtitles and of the flag readers below are fixed values too.
 
 def subtitle_format(token: Column) -> Column:
     v = ascii_upper(token)
@@ -448,6 +480,7 @@ def air_date(token: Column) -> Column:
     return F.coalesce(*(F.get(x, F.lit(0)) for x in found))
 
 
+# A year, and a span of years.
 YEAR = r"(?:189|19\d|20\d)\d"
 SPAN_OF_YEARS = rf"(?<![\dxX])({YEAR})[ ._]*(?:-|\x{{2013}}|\x{{2014}}|/|~|to|thru|through|bis|und|and|e|y|a)[ ._]*{YEAR}(?!\d)"
 

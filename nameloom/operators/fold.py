@@ -330,6 +330,7 @@ def _other_origins(items: Column, resolution: Column) -> Column:
     return F.flatten(F.transform(items, lambda x: F.transform(of(x), lambda o: F.struct(x["ord"].alias("ord"), o.alias("o"))))).cast(noted)
 
 
+# What the whole name may say outside of spans.
 LAYOUT_3D = r"(?s)^(.*?(?:^|[ ._\-]))(3D|(?:Half|Full)[ ._-]?SBS|HSBS|(?:Half|Full)[ ._-]?OU|HOU)(?=$|[ ._\-])"
 BRACKETED_DUB = r"(?s)^(.*?[\[(]\s*)(Dub(?:bed)?)\s*[\])]"
 WRITTEN = r"(?s)^(.*?(?:^|[^A-Za-z0-9]))(s(\d{1,2}))([ ._-]?)(e(\d{1,4}))"

@@ -22,7 +22,7 @@ LISTED = {"alternative_title": "alternative_titles", "language": "languages", "s
 JUDGED = {"type": "content", "content": "content", "medium": "content", "adult": "adult", "anime": "anime", "numbering": "numbering", "pack_scope": "pack_scope", "special": "special"}
 #: Evidence fields that the dict's origins call otherwise.
 SHOWN = {"release_source": "source", "release_group": "group"}
-#: Flags that the dict lists under "other", in its order.
+#: Flags that the dict lists under "other", in its order (fixed values).
 OTHER = [
     ("proper", "Proper"), ("repack", "Repack"), ("remux", "Remux"), ("complete_range", "Complete"), ("dual_audio", "Dual Audio"), ("multi_audio", "Multi Audio"),
     ("multi_subs", "Multi Subs"), ("hard_subs", "Hardcoded Subtitles"), ("english_dub", "English Dub"), ("hdr10", "HDR10"), ("dolby_vision", "Dolby Vision"),

@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..engine import degrade, parse
 from ..functions import convert as C
 from ..functions import text as T
 from ..operators import result, segments
 from ..operators.fold import SPAN, fold, items_of, values_for
+from .examples import all_matching, spellings_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,7 +76,7 @@ spellings("hdr_format", C.hdr, {"2160p.DV.HDR10": "DV", "UHDR10+": "HDR10+", "HD
 spellings("bit_depth", C.bit_depth, {"10bit": "10bit", "Hi10P": "10bit", "HEVC10": "10bit", "x265-10bit": "10bit", "8 bits": "8bit", "12-bit": "12bit", "10": "10bit", "HEVC": None, "YUV420P10": "10bit", "Main10": "10bit", "10b": "10bit"})
 spellings("edition_first", C.edition, {"1983.FiNAL.FRENCH": "Final", "Runner.1982.Final.Cut": "Final Cut", "PROOFFIX": "Fix", "UNC": "Uncensored", "Expanded.Edition": "Extended", "RM": "Remastered", "Ai-Enhanced": None, "10th Anniversary Edition": "Anniversary", "2in1": "2in1", "3ed": "Numbered Edition", "美版": "Regional", "(Hi-RES)": "High Quality", "CC": "Criterion", "2DISC": "Multi-Disc", "1DISC": None, "Taylors.Version": "Re-recorded", "OAR": "Original Aspect Ratio", "WS": "Widescreen", "PROPER": None})
 spellings("editions_all", C.editions, {"Movie.IMAX.Remastered.Uncut.DC": "IMAX/Remastered/Uncut/Director's Cut", "BONUS.UNCUT": "Uncut/Bonus", "Alternative.Extended.Version": "Extended/Alternate Cut", "UNRATED.Extended.Cut": "Unrated/Extended", "plain": "", "Limited.Internal": "Internal/Limited"}, joined)
-spellings("audio_codec", C.audio_codec, {"DDP5.1": "DDP", "2xFLAC": "FLAC", "THD+": "TrueHD", "ACC": "AAC", "OGG": "VORBIS", "WAV": "PCM", "DTS-HD.MA.7.1": "DTS-HD MA", "DTS-X": "DTS:X", "DTS": "DTS", "E-AC-3": "DDP", "AC3": "DD", "Atmos": "Atmos", "TrueHD.Atmos": "TrueHD", "APE": "APE", "H264.MP2": "MP2", "MP3": "MP3", "OPUS2.0": "OPUS", "ALAC": "ALAC", "DD2": "DD", "XYZ": None})
+spellings("audio_codec", C.audio_codec, {"DDP5.1": "DDP", "2xFLAC": "FLAC", "THD+": "TrueHD", "ACC": "AAC", "DD12345": "DD", "WAV123456": "PCM", "XYZ12345": None, "OGG": "VORBIS", "WAV": "PCM", "DTS-HD.MA.7.1": "DTS-HD MA", "DTS-X": "DTS:X", "DTS": "DTS", "E-AC-3": "DDP", "AC3": "DD", "Atmos": "Atmos", "TrueHD.Atmos": "TrueHD", "APE": "APE", "H264.MP2": "MP2", "MP3": "MP3", "OPUS2.0": "OPUS", "ALAC": "ALAC", "DD2": "DD", "XYZ": None})
 spellings("audio_profile", C.audio_profile, {"Atmos": "Atmos", "DTS:X": "DTS:X", "Auro-3D": "Auro-3D", "AURO": "Auro-3D", "7.1": None})
 spellings("audio_channels", C.audio_channels, {"6CH": "5.1", "8ch": "7.1", "2CH": "2.0", "5 1": "5.1", "6.0": "5.1", "8.0": "7.1", "2.0": "2.0", "7.1CH": "7.1", "1.0": "1.0"})
 spellings("container_value", C.container, {"archive.Movie.MKV": "mkv", "F4V": "f4v", "x.nfo": None, "epub": "epub", ".7z": "7z", "movie": None, "m4b ": "m4b"})
@@ -176,6 +178,22 @@ def release_year(spark, sf_dir):
     return parts(spark, sf_dir).select("k", C.year(token).cast("long").alias("value"))
 
 
+# --- every row of the tables; the values are what Python's regular expressions say
+
+_EDGED = "(?:^|%s)(?:{})(?:$|%s)" % C.EDGE
+_EDITION_TEXTS = dict.fromkeys(t for p, _ in vocab.EDITIONS for t in spellings_of(p))
+_LANGUAGE_TEXTS = dict.fromkeys(t for p, _ in vocab.LANGUAGES for t in spellings_of(p))
+_EXTENSIONS = {ext: medium for medium, found in vocab.CONTAINERS.items() for ext in found}
+
+spellings("edition_rows", C.edition, {t: all_matching(vocab.EDITIONS, t)[0] for t in _EDITION_TEXTS})
+spellings("editions_rows", C.editions, {t: "/".join(sorted(all_matching(vocab.EDITIONS, t), key=vocab.EDITION_LABELS.index)) for t in _EDITION_TEXTS}, joined)
+spellings("language_rows", C.languages, {t: "/".join(all_matching(vocab.LANGUAGES, t, _EDGED)) for t in _LANGUAGE_TEXTS}, joined)
+spellings("platform_rows", C.platform, dict(vocab.PLATFORMS))
+spellings("container_rows", C.container, {f"Name.{e.upper()}": e if m != "other" else None for e, m in _EXTENSIONS.items()})
+spellings("container_medium_rows", C.medium_of_container, {e: m if m != "other" else None for e, m in _EXTENSIONS.items()})
+spellings("group_reject_rows", C.never_a_group, {w: True for w in vocab.REJECTED_GROUPS}, yes_no)
+
+
 @query("group_reject", "select p_partkey as k, case p_partkey % 6 when 0 then 'NTb' when 1 then 'x265' when 2 then 'S01E02' when 3 then 'GROUP' when 4 then 'remux' else 'EP12' end as word from part where p_partkey % 6 in (0, 3)")
 def group_reject(spark, sf_dir):
     words = parts(spark, sf_dir).select("k", pick(["NTb", "x265", "S01E02", "GROUP", "remux", "EP12"], F.col("k")).alias("word"))
