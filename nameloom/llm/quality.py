@@ -111,9 +111,9 @@ def _add(key, t):
 
 def _added(sums: DataFrame, parts: int) -> DataFrame:
     """Sums of at most `parts` partitions, added up FAN_IN at a time until few are left."""
-    while parts > FAN_IN:
+    while parts > 4:
         parts = -(-parts // FAN_IN)
-        sums = sums.groupBy(F.floor(F.col("part") / FAN_IN).alias("part"), "fold").applyInArrow(_add, "part long, fold int, sums binary")
+        sums = sums.select(F.floor(F.col("part") / FAN_IN).alias("part"), "fold", "sums").groupBy("part", "fold").applyInArrow(_add, "part long, fold int, sums binary")
     return sums
 
 

@@ -207,6 +207,50 @@ def test_quality_learns_and_keeps_its_folds(spark):
     assert y == sorted(y) and y[0] == 0.5
 
 
+def test_quality_equals_dense_normal_equations(spark):
+    """Brute force: all rows at once in numpy, isotonic means by their definition."""
+    from pyspark.sql import functions as F
+
+    from nameloom.llm.quality import FOLDS, NAMES, Fourier, quality_scores, statistics
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
+    texts = [" ".join(word() if rng.random() < (0.9 if k % 2 else 0.5) else "$$!" for _ in range(rng.randint(3, 60))) for k in range(300)]
+    texts += [texts[0]] * 3 + ["", None, "long " * 60_000, "tie", "tie"]  # repeated rows, ties, a very long text
+    labels = {k: int((k % 2) ^ (rng.random() < 0.1)) for k in range(300)}
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(40)  # more parts than a task adds up
+    found = {r["doc_id"]: r for r in quality_scores(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), features=40).collect()}
+
+    x = np.array([statistics(t or "") for t in texts])
+    fourier = Fourier(x.mean(0), np.where(x.std(0) == 0, 1.0, x.std(0)), 40, 1.0, 6)
+    z = np.clip((x - fourier.mean) / fourier.spread, -6, 6)
+    phi = np.hstack([np.ones((len(x), 1)), np.cos(z @ fourier.w + fourier.b) * np.sqrt(2 / 40)])
+    held = {r["doc_id"] for r in docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).collect()}
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("f")).collect()}
+    train = [k for k in labels if k not in held]
+    y = np.array([labels[k] for k in train], float)
+
+    def fitted(rows):
+        p = phi[[train[r] for r in rows]]
+        return np.linalg.solve(p.T @ p + 1e-3 * len(rows) / 41 * np.eye(41), p.T @ y[rows])
+
+    raw = np.zeros(len(train))
+    for f in range(FOLDS):
+        own = [r for r, k in enumerate(train) if fold[k] == f]
+        raw[own] = phi[[train[r] for r in own]] @ fitted([r for r, k in enumerate(train) if fold[k] != f])
+    raw = np.clip(raw, -1, 2)
+    bins = np.floor((raw + 1) / 3 * 2000)
+    at = sorted(set(bins))
+    px, py, pn = (np.array([f(bins == b) for b in at]) for f in (lambda m: raw[m].mean(), lambda m: y[m].sum(), lambda m: m.sum()))
+    mean = lambda a, b: py[a : b + 1].sum() / pn[a : b + 1].sum()
+    flat = np.array([max(min(mean(a, b) for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))])
+    scores = np.clip(phi @ fitted(range(len(train))), -1, 2)
+    knots = [(px[flat == v] @ pn[flat == v] / pn[flat == v].sum(), v) for v in sorted(set(flat))]
+    want = 0.999 * np.interp(scores, *zip(*knots)) + 0.001 * (scores + 1) / 3
+    assert max(abs(found[k]["score"] - want[k]) for k in found) < 1e-6
+    assert found[0]["score"] == found[300]["score"] == found[301]["score"]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav>
 <div class="ad">Buy</div><div id="cookie-notice">Cookies</div><article><h1>Head &amp; line</h1><script>var t="</p>";</script>
 <p><b>First<br>  block &lt;3 &#8212; caf&eacute;<p>Second   block</p><ul><li>one<li>two</ul><form>mail</form><!-- no --><div>Third</div>
