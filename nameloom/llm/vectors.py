@@ -234,6 +234,7 @@ class ImpactIndex:
         import numpy as np
 
         self.segments = np.split(self.members.astype(np.int64), self.ends[:-1])
+        self.lengths = np.diff(self.ends, prepend=0)
         self.twice = self.least + self.most  # twice the middle: stays an integer
         self.width = self.most - self.least
         self.reach = np.maximum(np.abs(self.least), np.abs(self.most))
@@ -274,10 +275,15 @@ class ImpactIndex:
         np.maximum.at(hidden, self.component, size * self.width)
         got = np.zeros(len(self.ids), np.int64)
         at, total, floor = 0, len(order), None
+        small = 2.0 * float(np.abs(q).max()) * float(self.reach.max()) * self.size < 2**52
         possible = np.flatnonzero(alive)
         for stop in sorted({max(1, total * x // 8) for x in (2, 3, 4, 5, 6, 7)} | {total}):
-            for s in order[at:stop].tolist():
-                got[self.segments[s]] += add[s]
+            some = order[at:stop]
+            members = np.concatenate([self.segments[s] for s in some.tolist()])
+            if small:  # sums in double precision are exact
+                got += np.bincount(members, np.repeat(add[some].astype(np.float64), self.lengths[some]), len(got)).astype(np.int64)
+            else:
+                np.add.at(got, members, np.repeat(add[some], self.lengths[some]))
             at = stop
             # and what a component not read can still add: its largest segment to come
             rest = np.zeros(self.size, np.int64)
