@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .functions import convert as C
@@ -67,3 +67,11 @@ def degrade(records: DataFrame) -> DataFrame:
         "degraded": long, "valid": F.when(long, title != "").otherwise(F.col("valid")),
     }
     return records.withColumns({c: v for c, v in read.items() if c in records.columns})
+
+
+def observed(records: DataFrame, observation: Observation) -> DataFrame:
+    """The records, with figures of the batch in `observation` once they have been
+    read: names, valid, degraded, titled, bytes and longest (of a name)."""
+    size = F.octet_length("name")
+    count = lambda c: F.sum(c.cast("long"))
+    return records.observe(observation, F.count("*").alias("names"), count(F.col("valid")).alias("valid"), count(F.col("degraded")).alias("degraded"), count(F.col("title").isNotNull()).alias("titled"), F.sum(size).alias("bytes"), F.max(size).alias("longest"))

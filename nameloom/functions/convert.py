@@ -453,8 +453,8 @@ def platform(token: Column) -> Column:
 
 def _valid_dates(years: Column, months: Column, days: Column, year) -> Column:
     """The real dates among matches, in order."""
-    zipped = F.arrays_zip(years.alias("y"), months.alias("m"), days.alias("d"))
-    dated = F.transform(zipped, lambda t: F.struct(year(integer(t["y"])).alias("y"), integer(t["m"]).alias("m"), integer(t["d"]).alias("d")))
+    zipped = F.zip_with(years, months, lambda y, m: F.struct(year(integer(y)).alias("y"), integer(m).alias("m")))
+    dated = F.zip_with(zipped, days, lambda t, d: F.struct(t["y"].alias("y"), t["m"].alias("m"), integer(d).alias("d")))
 
     def real(t):
         y, m = t["y"], t["m"]

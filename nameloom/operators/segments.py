@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_kana, runs_of
+from .. import vocab
+from ..functions.text import full_width_folded, is_kana, runs_of
 
 #: Longest name, in bytes, that is segmented.
 LONGEST = 16384
@@ -29,6 +30,27 @@ def script_route(name: Column) -> Column:
     )
 
 
+def _range_class(*scripts: str) -> str:
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for s in scripts for a, b in vocab.SCRIPTS[s])
+
+
+def code_point_routes(name: Column, japanese: Column | None = None) -> Column:
+    """The route of each code point, full-width forms folded: ascii, modified_latin,
+    cyrillic, hangul, japanese_cj, chinese_han or sentinel (any other).
+
+    A name's Chinese and Japanese characters share one decision.  Kana make it
+    Japanese; Han alone is left to `japanese` (whether a model says so) and without
+    it is undecided: null."""
+    folded = full_width_folded(name)
+    decided = F.when(folded.rlike(f"[{_range_class('hiragana', 'katakana')}]"), F.lit("japanese_cj"))
+    if japanese is not None:
+        decided = decided.when(japanese, "japanese_cj").when(~japanese, "chinese_han")
+    cj = f"[{_range_class('han', 'hiragana', 'katakana')}]"
+    return F.transform(F.regexp_extract_all(folded, F.lit("(?s)."), F.lit(0)), lambda c: (
+        F.when(c.rlike(r"[\x00-\x7F]"), "ascii").when(c.rlike(cj), decided).when(c.rlike(f"[{_range_class('hangul')}]"), "hangul")
+        .when(c.rlike(f"[{_range_class('cyrillic')}]"), "cyrillic").when(c.rlike(f"[{_range_class('modified_latin')}]"), "modified_latin").otherwise("sentinel")))
+
+
 def n_tokens(name: Column) -> Column:
     return F.size(runs_of(name))
 

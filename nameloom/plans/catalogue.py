@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..engine import degrade, parse
 from ..functions import convert as C
+from ..functions import sql
 from ..functions import text as T
 from ..operators import result, segments
 from ..operators.fold import SPAN, fold, items_of, values_for
@@ -100,12 +101,21 @@ spellings("picture_flags", lambda c: F.concat_ws("/", *(f(c).cast("string") for
 spellings("source_flags", lambda c: F.concat_ws("/", C.source_is_remux(c).cast("string"), C.source_is_light(c).cast("string"), C.source_is_bare_uhd(c).cast("string")), {"BDRemux": "true/false/false", "MicroHD": "false/true/false", "Ultra.HD": "false/false/true", "BluRay": "false/false/false", "UHDR": "false/false/true"})
 spellings("source_extras", lambda c: F.concat_ws("/", *(C.source_extras(c)[f].cast("string") for f in ("lines", "hdr10", "dolby_vision"))), {"UHDRDV": "2160/true/true", "UHDR": "2160/true/false", "4K": "2160/false/false", "BluRay": ""})
 spellings("script_route", segments.script_route, {"Show": "latin", "名探偵コナン": "japanese", "羊毛战记": "han", "Дом": "cyrillic", "한국어": "hangul", "123": "other"})
+spellings("code_point_routes", segments.code_point_routes, {"aé1": "ascii/modified_latin/ascii", "名探偵コナン": "/".join(["japanese_cj"] * 6), "Домx": "cyrillic/cyrillic/cyrillic/ascii", "한×": "hangul/sentinel", "Ａ、": "ascii/sentinel", "😀a": "sentinel/ascii", "羊a": "ascii"}, joined)
+spellings("code_point_routes_judged", lambda c: segments.code_point_routes(c, c.contains("x")), {"羊毛": "chinese_han/chinese_han", "羊x": "japanese_cj/ascii", "かx": "japanese_cj/ascii"}, joined)
 spellings("encode_guard", segments.guard, {"name": "ok", "": "empty", "a\0b": "nul"})
 del ORACLES["encode_guard"]
 ORACLES["encode_guard"] = "select p_partkey as k, case p_partkey % 3 when 0 then 'name' when 1 then '' else 'a' || chr(0) || 'b' end as token, case p_partkey % 3 when 0 then 'ok' when 1 then 'empty' else 'nul' end as value from part"
 spellings("run_tokens", lambda c: segments.n_tokens(c).cast("long"), {"Show.S01E02": 5, "a1b22": 4, "...": 0, "电影2": 2, "x264-GRP": 3}, lambda c: c)
 
 
+@query("sql_functions", "select p_partkey as k, case p_partkey % 3 when 0 then 'WEB-DL' when 1 then 'BDRip' else 'nothing' end as token, case p_partkey % 3 when 0 then 'WEB-DL' when 1 then 'BluRay' end as source, case when p_partkey % 3 = 1 then 'x' || 1990 end as year from part")
+def sql_functions(spark, sf_dir):
+    sql.register(spark, names=["source", "year"])
+    parts(spark, sf_dir).select("k", pick(["WEB-DL", "BDRip", "nothing"], F.col("k")).alias("token")).createOrReplaceTempView("nameloom_tokens")
+    return spark.sql("select k, token, release_source(token) as source, 'x' || release_year(if(k % 3 = 1, 'Movie.1990', token)) as year from nameloom_tokens")
+
+
 # --- converters by arithmetic
 
 @query("resolution_tier", """

@@ -378,6 +378,13 @@ english_dub light_encode ai_upscale degraded anime""".split()
 #: Numbers of a result, by bit of the mask of stated ones.
 STATED = "year season season_end episode episode_end absolute_episode absolute_episode_end episode_count".split()
 
+#: Ranges of code points by script, as names are routed.
+SCRIPTS = {
+    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)], "hiragana": [(0x3040, 0x309F)], "katakana": [(0x30A0, 0x30FF), (0x31F0, 0x31FF)],
+    "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)], "cyrillic": [(0x0400, 0x052F)],
+    "modified_latin": [(0x00C0, 0x00D6), (0x00D8, 0x00F6), (0x00F8, 0x024F), (0x1D00, 0x1D7F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF)],
+}
+
 #: Ranges of scripts other than Latin.
 FOREIGN = [
     (0x0370, 0x03FF), (0x0400, 0x04FF), (0x0500, 0x052F), (0x0590, 0x05FF), (0x0600, 0x06FF), (0x0750, 0x077F),

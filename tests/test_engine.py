@@ -4,14 +4,16 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from nameloom.engine import parse
+from nameloom.engine import observed, parse
+from nameloom.functions import sql
 from nameloom.functions import text as T
 from nameloom.operators import result, segments
 from nameloom.operators.tagger import tag
 from nameloom.sources import names_from_lines, names_from_list, write_dicts, write_records
-from nameloom.streaming import counts_by_source, names_stream, parse_stream
+from nameloom.streaming import counts_by_source, names_stream, parse_stream, timed_names_stream
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 NAMES = [
@@ -133,7 +135,7 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("Movie.2024.1080p.BluRay-GRP\nShow.S01E02.720p.HDTV\n", encoding="utf-8")
-    for name, frame, mode in (("parsed", parse_stream(names_stream(spark, str(tmp_path / "in"))).select("title", "source"), "append"), ("counted", counts_by_source(names_stream(spark, str(tmp_path / "in"))), "complete")):
+    for name, frame, mode in (("parsed", parse_stream(names_stream(spark, str(tmp_path / "in"))).select("title", "source"), "append"), ("counted", counts_by_source(names_stream(spark, str(tmp_path / "in")), "seen"), "complete")):
         q = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
         q.processAllAvailable()
         q.stop()
@@ -153,3 +155,36 @@ def test_verdicts_become_columns(spark):
     row = parse(spark.createDataFrame([(1, "Movie.2024.1080p")], "name_id long, name string"), verdicts=heads).first()
     assert (row["content"], row["special"], row["specials"], row["medium"]) == ("movie", "ova", True, "video")
     assert round(row["content_confidence"], 3) == 0.7
+
+
+def test_late_names_are_left_out(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write = lambda k, rows: (tmp_path / "in" / f"{k}.json").write_text("".join(json.dumps({"name": n, "posted": t}) + "\n" for n, t in rows), encoding="utf-8")
+    counted = counts_by_source(timed_names_stream(spark, str(tmp_path / "in")), late="30 minutes")
+    q = counted.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "at")).start()
+    for k, rows in enumerate([
+        [("A.1080p.BluRay-G", "2024-01-01T10:01:00Z"), ("B.1080p.BluRay-G", "2024-01-01T10:02:00Z"), ("C.HDTV-G", "2024-01-01T11:00:00Z")],
+        [("Late.1080p.BluRay-G", "2024-01-01T10:03:00Z"), ("D.HDTV-G", "2024-01-01T12:00:00Z")],
+        [("E.HDTV-G", "2024-01-01T13:00:00Z")],
+    ]):
+        write(k, rows)
+        q.processAllAvailable()
+    q.stop()
+    found = {(r["window"]["start"].strftime("%H:%M"), r["source"]): r["n"] for r in spark.table("late").collect()}
+    assert found[("10:00", "BluRay")] == 2 and ("11:00", "HDTV") in found
+
+
+def test_observed(spark):
+    seen = Observation("batch")
+    assert observed(parse(names_from_list(spark, NAMES), columns=["title"]).join(parse(names_from_list(spark, NAMES), columns=["name", "valid", "degraded"]), "name_id"), seen).count() == len(NAMES)
+    assert seen.get["names"] == len(NAMES) and seen.get["degraded"] == 1 and seen.get["longest"] > 16384
+
+
+def test_sql_functions(spark):
+    made = sql.register(spark, names=["source", "title", "episode_marker", "languages"])
+    assert made == ["release_source", "release_title", "release_episode_marker", "release_languages"]
+    row = spark.sql("select release_source('AMZN.WEB-DL') a, release_title('Some.Movie.Some.Movie') b, release_episode_marker('1x01-1x03').last c, release_languages('GerSub') d").first()
+    assert tuple(row) == ("WEB-DL", "Some Movie", 3, ["deu"])
+    names_from_list(spark, NAMES).createOrReplaceTempView("names_here")
+    sql.parsed_view(spark, "names_here", "records_here", columns=["title", "season"])
+    assert spark.sql("select season from records_here where title = 'Show Name'").first()[0] == 2
