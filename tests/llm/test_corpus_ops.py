@@ -309,3 +309,152 @@ def test_main_text_names_of_containers(html, text):
     page = Page(html.replace("%s", ARTICLE))
     found = page.text(page.paths[page.best()]) if page.blocks else ""
     assert found == ("Long body text here.\nMore of it." if text else "")
+
+
+def test_a_hub_is_split(spark):
+    """The joins of components: minima that are tables leave a hub's partition to Spark to split."""
+    from pyspark.sql import functions as F
+
+    from nameloom.llm.common import with_least, written
+
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        edges = written(spark.range(40_000).select(F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("u"), F.col("id").alias("v")).repartition(8), "edges")
+        least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = with_least(edges, least)
+        assert joined.agg(F.count("*"), F.sum("m")).first()[0] == 40_000
+        rows = joined.rdd.count()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert rows == 40_000 and "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_components_in_many_tasks(spark):
+    from nameloom.llm.common import components
+
+    rng = random.Random(8)
+    edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)] + [(k, k + 1) for k in range(500, 560)] + [(900, k) for k in range(901, 1000)]
+    want = closure(range(1001), edges)
+    found = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), most=60).collect()}
+    assert all(found.get(i, i) == want[i] for i in range(1001))
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    from nameloom.llm.minhash import near_duplicates
+
+    rng = random.Random(12)
+    words = ["w%d" % rng.randrange(10**9) for _ in range(30_000)]
+    far = words[:15_000] + ["v%d" % k for k in range(15_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:29_000] + ["x"] * 1000)), (3, " ".join(far)), (4, " ".join(words).upper())]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: (len(shingles(t)), 3 if k == 3 else 1) for k, t in rows}
+
+
+def test_equal_vectors_are_one_class(spark):
+    from nameloom.llm.vectors import embedding_near_duplicates, tables_for
+
+    rng = np.random.RandomState(5)
+    one, other = rng.standard_normal(16), rng.standard_normal(16)
+    rows = [(k, one.tolist(), 1) for k in range(50)] + [(100 + k, (one + 0.05 * rng.standard_normal(16)).tolist(), 1) for k in range(3)] + [(200, one.tolist(), 2), (300, other.tolist(), 1)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tables=30, bits=3).collect()}
+    assert {found[k] for k in range(50)} == {(52, 0)} and {found[100 + k] for k in range(3)} == {(52, 0)}
+    assert found[200] == (0, 200) and found[300] == (0, 300)
+    for n in (10, 10**5, 10**9):  # constant recall at any size
+        bits, tables = tables_for(n, 0.93, 0.95, 512)
+        assert 1 - (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables >= 0.95
+
+
+def test_line_dedup_odd_rows(spark):
+    from nameloom.llm.line_dedup import line_dedup
+
+    long = "\n".join(["own line"] + ["shared"] * 50_000)
+    rows = [(k, f"shared\nline {k}", f"s{k}") for k in range(12)] + [(3, "shared\nline 3", "s3")] * 2 + [(50, long, "s50"), (None, "shared\nno id", "s60"), (60, "shared\nno site", None)]
+    found = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()), key=repr)
+    want = [(k, f"line {k}", 1) for k in range(12)] + [(3, "line 3", 1)] * 2 + [(50, "own line", 50_000), (None, "shared\nno id", 0), (60, "no site", 1)]
+    assert found == sorted(want, key=repr)  # the null id comes first
+
+
+def generated_pages():
+    """(url, html, text): pages of four templates, whose article is known."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8)))
+    said = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    loud = lambda t: f"{t[:4]}<b>{t[4:8]}</b><A HREF='/x?a=1&amp;b=2' title=\"a > b\">{t[8:12]}</A>{t[12:]}"
+    for k in range(80):
+        kind = k % 4
+        blocks, body = [], []
+        for j in range(rng.randint(3, 9)):
+            t = said(12, 60) + rng.choice([" & more", " < less", " – dash", ""])
+            written = loud(t).replace(" & ", " &amp;\n\t ").replace(" < ", " &lt; ").replace("–", "&#8211;")
+            if j == 2:
+                items = [said(3, 9) for _ in range(3)]
+                body.append("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>")
+                blocks += items
+            body.append(f"<p data-k='{j}'>{written}" + rng.choice(["</p>", ""]))
+            blocks.append(t)
+            body.append(rng.choice(["", "<script>if (a<b) document.write('<p>no</p>')</script>", "<!-- <p>no</p> -->", "<STYLE>p>a{}</STYLE>"]))
+        title = said(4, 8)
+        links = "".join(f"<li><a href='/{word()}'>{said(1, 4)}</a></li>" for _ in range(rng.randint(3, 12)))
+        notes = "".join(f"<p>{said(5, 20)}</p>" for _ in range(rng.choice([1, 3, 40])))
+        top = f"<header class=site-header><div>{said(2, 4)}</div></header><nav><ul>{links}</ul></nav><div class='cookie-notice'>{said(4, 9)}</div>"
+        end = f"<footer>&copy; {said(3, 6)}</footer>"
+        side = f"<div class='sidebar col-{k}'><ul>{links}</ul></div>"
+        whole = "".join(body)
+        page = [
+            f"{top}<article class='post-{k}'><header><h1>{title}</h1></header>{whole}<section class='comments'>{notes}</section></article><aside>{said(5, 9)}</aside>{end}",
+            f"{top}<div class='wrap-{k}'><div class='post'><h1>{title}</h1><div class='entry'>{whole}</div></div>{side}</div><div id='comments'>{notes}</div>{end}",
+            f"{top}<main id=main><div class='comment-free body-{k}'><h1>{title}</h1>{whole}</div><form><input><button>{said(1, 2)}</button></form></main>{side}{end}",
+            f"<form id=all>{top}<div class='share-story'><article><h1>{title}</h1>{whole}</article></div><p>{said(2, 5)}</p>{end}</form>",
+        ][kind]
+        yield f"https://host{kind}.example/{k}", f"<!doctype html><html><head><title>{title}</title></head><body>{page}</body></html>", "\n".join([title, *blocks])
+
+
+def test_generated_pages_give_back_their_articles(spark):
+    from nameloom.llm.html_text import extract_main_text
+
+    pages = list(generated_pages())
+    rows = [(k, url, html) for k, (url, html, _) in enumerate(pages)]
+    rows += [rows[0], rows[0], (500, pages[1][0], pages[1][1].replace("<h1>", "<h1>" + "w" * 400_000))]  # repeated rows, a very long page
+    found = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == len(rows)
+    wrong = [(r["url"], r["text"][:300], pages[r["page_id"]][2][:300]) for r in found if r["page_id"] < 500 and r["text"] != pages[r["page_id"]][2]]
+    assert not wrong, wrong[:2]
+    assert next(r for r in found if r["page_id"] == 500)["n_chars"] == len(pages[1][2]) + 400_000
+
+
+def test_ties_of_containers_and_paths(spark):
+    from nameloom.llm.html_text import extract_main_text
+
+    half = "equal words here " * 10
+    html = f"<div class=a><p>{half}</p></div><div class=b><p>{half}</p></div>"
+    other = html.replace("class=a", "class=c").replace("class=b", "class=a").replace("class=c", "class=b")
+    rows = [(1, "http://t.org/1", html), (2, "http://t.org/2", other)]
+    found = [sorted(r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)).collect()) for n in (1, 2)]
+    assert found[0] == found[1] and all(half.strip() in t for t in found[0])
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div class="comment-free article-body"><p>Body of it</p></div>', "Body of it"),
+        ('<div class="share-story"><article>main</article></div><p>junk line</p>', "main"),
+        ('<p title="oops>Hello there</p>', "Hello there"),
+        ("<article><header><h1>Title</h1><p>by someone</p></header><p>Body</p></article>", "Title\nBody"),
+        ("<p data-x='class=comments'>kept</p>", "kept"),
+        ('<p title="a > b" class=x>kept</p', "kept"),
+        ("<!--><p>kept</p><!-- gone -->", "kept"),
+    ],
+)
+def test_html_as_it_is_read(html, text):
+    from nameloom.llm.html_text import Page
+
+    page = Page(html)
+    assert page.text(page.paths[page.best()]) == text
