@@ -21,14 +21,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier doesn't reject, each by its own text; null ids,
-    repeated ids and null texts are scored as any other."""
+    repeated ids and null texts are scored as any other.  Columns other than those
+    of documents are left out, here and in the next stages, whatever their names.
+    Labels that are null or no 0 or 1 teach nothing; without any, all rows stay."""
     scored = quality_scores(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), carry=COLUMNS[1:])
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without boilerplate lines; documents of which nothing is left go, those
-    that were blank before stay."""
+    that were blank before stay.  n_chars is counted again where a line went."""
     cleaned = line_dedup(docs.select(*COLUMNS))
     blank = F.coalesce(F.col("text").rlike(r"^\s*$"), F.lit(True))
     text = cleaned.where(~(blank & (F.col("n_removed") > 0)))
@@ -62,16 +64,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of every row, as best_fit_pack() gives them: null texts are
+    one end token, null ids and rows that repeat are packed each."""
     return best_fit_pack(docs, *packing_tokenizer())
 
 
 STAGES = [("quality classifier", keep_quality), ("line dedup", drop_repeated_lines), ("minhash near-dedup", drop_near_duplicates), ("best-fit packing", pack)]
 
-#: A trained classifier and a tokenizer have no SQL; tests/llm compares stages with brute force.
+#: A trained classifier and a tokenizer have no SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and read again.  An empty table goes
+    through to an empty result."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
