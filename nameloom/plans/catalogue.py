@@ -19,6 +19,7 @@ from ..functions import sql
 from ..functions import text as T
 from ..operators import result, segments
 from ..operators.fold import SPAN, fold, items_of, values_for
+from ..sources import names_from_table
 from .examples import all_matching, spellings_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,6 +189,19 @@ def release_year(spark, sf_dir):
     return parts(spark, sf_dir).select("k", C.year(token).cast("long").alias("value"))
 
 
+spellings("ascii_case", lambda c: F.concat(T.ascii_upper(c), F.lit("/"), T.ascii_lower(c)), {"straße É": "STRAßE É/straße É", "Show.S01": "SHOW.S01/show.s01", "": "/", "ПРИВЕТ a": "ПРИВЕТ A/ПРИВЕТ a"})
+spellings("full_width_folded", T.full_width_folded, {"Ａ１　！": "A1 !", "第１話": "第1話", "plain": "plain", "～": "~"})
+spellings("cross_folded", lambda c: F.array_join(T.runs_of(c), "/"), {"1920×1080": "1920/x/1080", "3×": "3/x", "2x4": "2/x/4"})
+spellings("valid_utf8", lambda c: T.valid_utf8(F.unhex(c)), {"4142": "AB", "FF41": "\ufffdA", "C328": "\ufffd(", "C3A9": "é", "": ""})
+
+
+@query("null_names", "select p_partkey as name_id, p_partkey % 3 = 1 as valid, case when p_partkey % 3 = 1 then 'Show' end as title, case when p_partkey % 3 = 1 then 1990 + p_partkey % 30 end as year from part")
+def null_names(spark, sf_dir):
+    k = F.col("k")
+    names = names_from_table(parts(spark, sf_dir), when(k % 3 == 1, cat(lit("Show."), 1990 + k % 30)).when(k % 3 == 2, "..."), k)
+    return parse(names, columns=["valid", "title", "year"]).select("name_id", "valid", "title", F.col("year").cast("long").alias("year"))
+
+
 # --- every row of the tables; the values are what Python's regular expressions say
 
 _EDGED = "(?:^|%s)(?:{})(?:$|%s)" % C.EDGE

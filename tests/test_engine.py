@@ -49,6 +49,7 @@ def test_strict_refuses_a_null_name(spark):
 
 def test_ranges_over_seasons(spark):
     """Seasons are always right; episodes never for names numbered per season."""
+    # a fixed fixture: names and answers that any implementation of the rule must reproduce
     with open(os.path.join(HERE, "data", "marker_ranges.jsonl"), encoding="utf-8") as f:
         rows = [json.loads(x) for x in f]
     found = {r["name_id"]: r for r in parse(names_from_list(spark, [r["name"] for r in rows]), evidence=False).collect()}
