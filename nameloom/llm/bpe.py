@@ -264,14 +264,14 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     spark = docs.sparkSession
     source = shipped(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = rows.select(F.explode(F.split("text", r"[ \n]")).alias("word")).agg(F.approx_count_distinct("word")).first()[0] or 0
+    words = rows.select(F.explode(F.split("text", " ")).alias("word")).agg(F.approx_count_distinct("word")).first()[0] or 0
     buckets = max(1, -(-words // bucket_words), min(2 * spark.sparkContext.defaultParallelism, words // 5000))
     blocks = bucketed(rows.mapInArrow(_blocks(pattern, buckets, block_chars), "block long, doc_ids array<long>, lengths array<long>, codes binary, asked array<struct<bucket long, codes binary, sizes binary, bytes binary>>"), "block", "bpe")
     asked = blocks.select("block", F.explode("asked").alias("a")).select("a.bucket", "block", "a.codes", "a.sizes", "a.bytes")
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_bucket(source, pattern), "block long, codes binary, counts binary, ids binary")
     # one row of the vocabulary's size, for every block
     tokens = token_table(spark, source).groupBy(F.lit(0).alias("k")).applyInArrow(_packed_tokens, "k int, ids binary, counts binary, bytes binary")
-    tokens = blocks.select("block", F.lit(0).alias("k")).join(F.broadcast(tokens), "k").select("block", F.lit(None).cast("binary").alias("codes"), "counts", "ids", "bytes")
+    tokens = blocks.select("block", F.pmod("block", F.lit(1)).cast("int").alias("k")).join(F.broadcast(tokens), "k").select("block", F.lit(None).cast("binary").alias("codes"), "counts", "ids", "bytes")
     known = answers.withColumn("bytes", F.lit(None).cast("binary")).unionByName(tokens)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded binary" if with_ids else "")
     return blocks.select("block", "doc_ids", "lengths", "codes").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_rebuild(with_ids), schema)
