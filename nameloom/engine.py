@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .functions import convert as C
@@ -39,7 +39,7 @@ def parse(names: DataFrame, name_col: str = "name", id_col: str = "name_id", tag
     name = valid_utf8(F.col(name_col))
     if strict:
         name = F.when(name.isNull(), F.raise_error(F.lit("a name is null"))).otherwise(name)
-    rows = names.select(F.col(id_col).alias("name_id"), F.coalesce(trimmed(name), F.lit("")).alias("name"))
+    rows = names.select(F.col(id_col).alias("name_id"), normal(name).alias("name"))
     if tagger is None:
         spans = rows.select("name_id", "name", _spans().alias("spans"))
         ready = spans.select("name_id", "name", items_of("name", "spans", values_for(columns)).alias("items"))
@@ -53,6 +53,36 @@ def parse(names: DataFrame, name_col: str = "name", id_col: str = "name_id", tag
     return records if columns is None else records.select(*asked)
 
 
+def parse_repeated(names: DataFrame, name_col: str = "name", id_col: str = "name_id", evidence: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """What parse() gives by the rule tagger, for tables in which names recur: each
+    distinct name is parsed once, and its record joined to all its rows.
+
+    The names are read twice, so they must be the same both times, and no stream.
+    Where all differ this costs a shuffle of them more than parse()."""
+    rows = names.select(F.col(id_col).alias("name_id"), normal(valid_utf8(F.col(name_col))).alias("name"))
+    records = parse(spread(rows.select("name").distinct()), id_col="name", evidence=evidence, columns=columns)
+    kept = [c for c in records.columns if c not in ("name_id", "name")]
+    found = rows.join(records.select(F.col("name_id").alias("name"), *kept), "name")
+    return found.select(*records.columns)
+
+
+def counted(names: DataFrame, name_col: str = "name") -> DataFrame:
+    """name, n: the distinct names and how many rows have each, for counts of
+    records: parse(counted(names), id_col="n") has n as its name_id."""
+    return spread(names.select(normal(valid_utf8(F.col(name_col))).alias("name")).groupBy("name").agg(F.count("*").alias("n")))
+
+
+def normal(name: Column) -> Column:
+    """A valid name as it is parsed: trimmed, empty for null."""
+    return F.coalesce(trimmed(name), F.lit(""))
+
+
+def spread(names: DataFrame) -> DataFrame:
+    """Few bytes of names are much work: they aren't left to a few tasks."""
+    spark = names.sparkSession
+    return names.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 @once
 def _spans():
     return rule_spans(F.col("name"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from nameloom.engine import observed, parse
+from nameloom.engine import counted, observed, parse, parse_repeated
 from nameloom.functions import sql
 from nameloom.functions import text as T
 from nameloom.operators import result, segments
@@ -73,6 +73,17 @@ def test_partitions_and_taggers_do_not_matter(spark):
     assert parse(names.limit(0)).count() == 0
 
 
+def test_names_that_recur_are_parsed_once(spark):
+    names = names_from_list(spark, NAMES * 3 + [" Show.Name.S02E05.1080p.x265-GRP\t"])
+    rows = lambda df: sorted(map(str, df.select("name_id", "name", "valid", "degraded", "title", "year", "season", F.to_json("origins")).collect()))
+    assert rows(parse_repeated(names)) == rows(parse(names))
+    assert rows(parse_repeated(names.withColumn("name", F.col("name").cast("binary")))) == rows(parse(names))
+    some = parse_repeated(names.withColumnsRenamed({"name_id": "id", "name": "text"}), "text", "id", columns=["title"])
+    assert some.columns == ["name_id", "title"] and some.count() == 3 * len(NAMES) + 1
+    found = {r["name"]: r["n"] for r in counted(names).collect()}
+    assert len(found) == len(NAMES) - 2 and found["..."] == 3 and found[""] == 9 and found[NAMES[1]] == 4
+
+
 def test_no_shuffle_and_no_python_in_the_plan(spark):
     plan = parse(spark.range(3).select(F.col("id").alias("name_id"), F.lit("x").alias("name")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
