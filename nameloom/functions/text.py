@@ -53,8 +53,8 @@ def valid_utf8(c: Column) -> Column:
     return F.make_valid_utf8(c.cast("string"))
 
 
-def trimmed(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITE))
+def trimmed(c: Column, characters: str = WHITE) -> Column:
+    return F.btrim(c, F.lit(characters))
 
 
 def simplified(c: Column) -> Column:

@@ -84,6 +84,11 @@ def test_names_that_recur_are_parsed_once(spark):
     assert len(found) == len(NAMES) - 2 and found["..."] == 3 and found[""] == 9 and found[NAMES[1]] == 4
 
 
+def test_trimmed_knows_the_vertical_tab(spark):
+    rows = spark.createDataFrame([("\x0bvat\x0b",)], "text string")
+    assert rows.select(T.trimmed(F.col("text"))).first()[0] == "vat"
+
+
 def test_no_shuffle_and_no_python_in_the_plan(spark):
     plan = parse(spark.range(3).select(F.col("id").alias("name_id"), F.lit("x").alias("name")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
