@@ -482,12 +482,13 @@ def air_date(token: Column) -> Column:
 
 # A year, and a span of years.
 YEAR = r"(?:189|19\d|20\d)\d"
-SPAN_OF_YEARS = rf"(?<![\dxX])({YEAR})[ ._]*(?:-|\x{{2013}}|\x{{2014}}|/|~|to|thru|through|bis|und|and|e|y|a)[ ._]*{YEAR}(?!\d)"
+# A look ahead for the first digit comes first: it is cheaper than one behind, at every place of a long name.
+SPAN_OF_YEARS = rf"(?=[12])(?<![\dxX])({YEAR})[ ._]*(?:-|\x{{2013}}|\x{{2014}}|/|~|to|thru|through|bis|und|and|e|y|a)[ ._]*{YEAR}(?!\d)"
 
 
 def year(token: Column) -> Column:
     """The start of a range of years, else the last year; frame sizes are none."""
-    alone = groups(token, rf"(?<![\dxX])({YEAR})(?![\d]|\s*[xX]\s*\d{{3,4}})", 1, False)
+    alone = groups(token, rf"(?=[12])(?<![\dxX])({YEAR})(?![\d]|\s*[xX]\s*\d{{3,4}})", 1, False)
     ranged = group(token, SPAN_OF_YEARS)
     return F.when(ranged != "", ranged.cast("int")).otherwise(let(alone, lambda a: F.when(F.size(a) > 0, F.element_at(a, -1).try_cast("int"))))
 
@@ -496,13 +497,13 @@ def year(token: Column) -> Column:
 
 def prefer_latin(title: Column) -> Column:
     """Of a title in two scripts the Latin part."""
+    return let(simplified(title), _latin_of)
 
-    def read(s):
-        kept = F.transform(F.split(s, " "), lambda t: F.regexp_replace(simplified(F.regexp_replace(t, f"[{FOREIGN_CLASS}]", " ")), rx(r"^[\s/|:;,\.\-–—]+|[\s/|:;,\.\-–—]+$", False), ""))
-        kept = F.filter(kept, lambda t: t.rlike(rf"[{LATIN}]|\p{{Nd}}"))
-        return F.when(has_foreign_script(s) & has_latin_word(s) & (F.size(kept) > 0), F.array_join(kept, " ")).otherwise(s)
 
-    return let(simplified(title), read)
+def _latin_of(s: Column) -> Column:
+    kept = F.transform(F.split(s, " "), lambda t: F.regexp_replace(simplified(F.regexp_replace(t, f"[{FOREIGN_CLASS}]", " ")), rx(r"^[\s/|:;,\.\-–—]+|[\s/|:;,\.\-–—]+$", False), ""))
+    kept = F.filter(kept, lambda t: t.rlike(rf"[{LATIN}]|\p{{Nd}}"))
+    return F.when(has_foreign_script(s) & has_latin_word(s) & (F.size(kept) > 0), F.array_join(kept, " ")).otherwise(s)
 
 
 def title(token: Column) -> Column:
@@ -513,8 +514,14 @@ def title(token: Column) -> Column:
         doubled = (F.size(words) >= 4) & (F.size(words) % 2 == 0) & (F.slice(words, F.lit(1), half) == F.slice(words, half + 1, half))
         return F.array_join(F.when(doubled, F.slice(words, F.lit(1), half)).otherwise(words), " ")
 
-    joined = let(F.split(simplified(F.translate(token, "._", "  ")), " "), once)
-    return prefer_latin(F.regexp_replace(joined, rx(r"[\s(\[{:;|/\-]+$", False), ""))
+    def closed(s):
+        # what may stand at the end is looked for there before the whole text is searched
+        tail = rx(r"[\s(\[{:;|/\-]+$", False)
+        return F.when(F.right(s, F.lit(2)).rlike(tail), F.regexp_replace(s, tail, "")).otherwise(s)
+
+    spaced = F.replace(F.replace(token, F.lit("."), F.lit(" ")), F.lit("_"), F.lit(" "))
+    # simplified already, and so is what is left of it without its end
+    return let(let(let(F.split(simplified(spaced), " "), once), closed), _latin_of)
 
 
 def release_group(token: Column) -> Column:

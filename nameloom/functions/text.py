@@ -75,7 +75,8 @@ def fold_key(c: Column) -> Column:
 
 
 def has_foreign_script(c: Column) -> Column:
-    return c.rlike(f"[{FOREIGN_CLASS}]")
+    # only a text with more bytes than characters can hold one: the class is slow on long texts
+    return (F.octet_length(c) > F.length(c)) & c.rlike(f"[{FOREIGN_CLASS}]")
 
 
 def has_latin_word(c: Column) -> Column:
