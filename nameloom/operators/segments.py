@@ -71,8 +71,13 @@ def decode_runs(scores: DataFrame) -> DataFrame:
 
 
 def argmax_verdicts(scores: DataFrame) -> DataFrame:
-    """name_id, head, value, prob to name_id, head, value, confidence (ties to the smaller value)."""
-    best = scores.groupBy("name_id", "head").agg(F.min(F.struct((-F.col("prob")).alias("less"), "value")).alias("x"))
+    """name_id, head, value, prob to name_id, head, value, confidence (ties to the smaller value).
+
+    The best are sought after a shuffle into many small parts: before it, a task
+    would sort all scores of its file."""
+    spark = scores.sparkSession
+    parts = max(16 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    best = scores.repartition(parts, "name_id", "head").groupBy("name_id", "head").agg(F.min(F.struct((-F.col("prob")).alias("less"), "value")).alias("x"))
     return best.select("name_id", "head", "x.value", (-F.col("x.less")).cast("float").alias("confidence"))
 
 

@@ -89,6 +89,14 @@ def test_trimmed_knows_the_vertical_tab(spark):
     assert rows.select(T.trimmed(F.col("text"))).first()[0] == "vat"
 
 
+def test_verdicts_are_not_sorted_by_file(spark):
+    scores = spark.createDataFrame([(1, "content", "b", 0.5), (1, "content", "a", 0.5), (1, "special", "x", 0.1)], "name_id long, head string, value string, prob double")
+    best = segments.argmax_verdicts(scores)
+    assert sorted(tuple(r)[:3] for r in best.collect()) == [(1, "content", "a"), (1, "special", "x")]
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan[plan.index("Exchange") :].split("== Initial Plan ==")[0]
+
+
 def test_no_shuffle_and_no_python_in_the_plan(spark):
     plan = parse(spark.range(3).select(F.col("id").alias("name_id"), F.lit("x").alias("name")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
